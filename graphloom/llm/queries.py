@@ -30,5 +30,79 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_ring_shards, op5_length_histogram, op6_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.hostrules import judge
+
+    return judge(read(spark, sf_dir, "documents"))
+
+
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.curriculum import place, sized
+
+    placed = place(sized(read(spark, sf_dir, "documents")), lambda rank, _: rank % 3 + 1)
+    first = placed.withColumn("position", F.get("copies", F.lit(0))["position"]).withColumn("n_copies", F.size("copies"))
+    out = first.select("doc_id", "size", "source_size", "target", "taken", "source", "n_copies", "position")
+    return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pii import pseudonymise
+
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), "a key kept outside the data")
+
+
+def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.digest import edited_fingerprints
+
+    return edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_feistel_pseudonyms,
+        op2_host_quality_rules,
+        op4_ring_shards,
+        op5_length_histogram,
+        op6_best_fit_packing,
+        op8_curriculum_mix,
+        op10_canonical_digest,
+    )
+}
+#: Words of a text in DuckDB.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLE: dict[str, str] = {
+    "op2_host_quality_rules": rf"""
+WITH w AS (
+  SELECT doc_id, source AS host, {_WORDS} AS ws, coalesce(text, '') AS t,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)
+), twice AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), covered AS (
+  SELECT doc_id, sum(least(8, coalesce(n - i, 8)))::BIGINT AS c
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM twice) GROUP BY doc_id
+), counted AS (
+  SELECT w.doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+), hosts AS (
+  SELECT host, count(*) AS n, sum(base_failed::INT)::DOUBLE AS f FROM judged GROUP BY host
+), whole AS (
+  SELECT sum(f) / sum(n) AS m, count(*) / sum(n) AS hn, sum(f * f / n) / sum(n) AS q FROM hosts
+), prior AS (
+  SELECT m, CASE WHEN q - m * m - m * (1 - m) * hn > 1e-12 THEN greatest(m * (1 - m) / (q - m * m - m * (1 - m) * hn) - 1, 1.0) ELSE 1e12 END AS s FROM whole
+), rates AS (
+  SELECT host, (f + m * s) / (n + s) AS rate, m FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rate <= 0.8 AND NOT (rate > 0.3 AND rate > 2 * m AND (n_symbols > 0.1 * word_chars OR 20 * n_dup_lines > 0.3 * n_words)) AS kept,
+  j.host, round(rate, 6) AS host_rate
+FROM judged j JOIN rates r ON j.host IS NOT DISTINCT FROM r.host
+"""
+}
