@@ -57,19 +57,35 @@ def host_rates(failures: DataFrame, host: str = "host", failed: str = "base_fail
     """
     hosts = failures.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     whole = hosts.agg(F.sum("n_docs").alias("n"), F.count(F.lit(1)).alias("h"), F.sum("n_failed").alias("f"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("q"))
-    mean = F.col("f") / F.col("n")
+    n, h, f, q = (float(x or 0) for x in whole.first())
+    mean = f / n if n else 0.0
     spread = mean * (1 - mean)
-    between = F.col("q") / F.col("n") - mean * mean - spread * F.col("h") / F.col("n")
-    strength = F.when(between > 1e-12, F.greatest(spread / between - 1, F.lit(1.0))).otherwise(F.lit(1e12))
-    prior = whole.select(mean.alias("_mean"), strength.alias("_strength"))
-    # one row beside every host: a join on a constant with a single-row aggregate, broadcast by its size of one
-    hosts = hosts.withColumn("_one", F.lit(1)).join(F.broadcast(prior.withColumn("_one", F.lit(1))), "_one")
-    rate = (F.col("n_failed") + F.col("_mean") * F.col("_strength")) / (F.col("n_docs") + F.col("_strength"))
-    return hosts.select(host, "n_docs", "n_failed", rate.alias("rate"), F.col("_mean").alias("corpus_rate"))
+    between = q / n - mean * mean - spread * h / n if n else 0.0
+    strength = max(spread / between - 1, 1.0) if between > 1e-12 else 1e12
+    rate = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
+    return hosts.select(host, "n_docs", "n_failed", rate.alias("rate"), F.lit(mean).alias("corpus_rate"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """df (host, text and others) with the five counts and base_failed in place of the text, written once."""
+    rows = df.withColumn("f", features(F.col("text"))).select("*", "f.*").drop("f")
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return written(rows.withColumn("base_failed", failed).drop("text"))
+
+
+def _judged(counted: DataFrame, reject_host: float, suspect_host: float, symbol_share: float, dup_lines: float, most_hosts: int = 100_000) -> DataFrame:
+    """counted with host_rate and kept. The hosts' rates are broadcast while they are few, and else joined by shuffle."""
+    rates = written(host_rates(counted).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "corpus_rate"))
+    rates = F.broadcast(rates) if rates.count() <= most_hosts else rates
+    joined = counted.join(rates, F.col("host").eqNullSafe(F.col("_host")))
+    soft = (F.col("n_symbols") > symbol_share * F.col("word_chars")) | (20 * F.col("n_dup_lines") > dup_lines * F.col("n_words"))
+    suspect = (F.col("host_rate") > suspect_host) & (F.col("host_rate") > 2 * F.col("corpus_rate"))
+    kept = ~F.col("base_failed") & (F.col("host_rate") <= reject_host) & ~(suspect & soft)
+    return joined.withColumn("kept", kept).drop("_host", "corpus_rate")
 
 
 def judge(df: DataFrame, text: str = "text", host: str = "source", reject_host: float = 0.8, suspect_host: float = 0.3, symbol_share: float = 0.1, dup_lines: float = 0.3) -> DataFrame:
-    """doc_id, the five counts, base_failed, host, host_rate, kept for each document.
+    """doc_id, the five counts, base_failed, kept, host, host_rate for each document.
 
     Base rules: under 20 words, or over 30 % of the words in repeated 8-word windows. A document that fails one goes.
     All documents of a host whose shrunk failure rate exceeds `reject_host` go. On a host above `suspect_host` and
@@ -79,12 +95,12 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", reject_host:
     The counts are written once to the shared folder, without the texts. A null host is a host of its own; an empty
     table gives no rows; repeated rows are judged alike, each on its own row.
     """
-    counted = df.select("doc_id", F.col(host).alias("host"), features(F.col(text)).alias("f")).select("doc_id", "host", "f.*")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    counted = written(counted.withColumn("base_failed", failed))
-    rates = host_rates(counted).select(F.col("host").alias("_host"), "rate", "corpus_rate")
-    joined = counted.join(rates, F.col("host").eqNullSafe(F.col("_host")))
-    soft = (F.col("n_symbols") > symbol_share * F.col("word_chars")) | (20 * F.col("n_dup_lines") > dup_lines * F.col("n_words"))
-    suspect = (F.col("rate") > suspect_host) & (F.col("rate") > 2 * F.col("corpus_rate"))
-    kept = ~F.col("base_failed") & (F.col("rate") <= reject_host) & ~(suspect & soft)
-    return joined.select("doc_id", *RULES, "base_failed", kept.alias("kept"), "host", F.round("rate", 6).alias("host_rate"))
+    counted = _counted(df.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text")))
+    judged = _judged(counted, reject_host, suspect_host, symbol_share, dup_lines)
+    return judged.select("doc_id", *RULES, "base_failed", "kept", "host", F.round("host_rate", 6).alias("host_rate"))
+
+
+def passing(df: DataFrame, text: str = "text", host: str = "source", reject_host: float = 0.8, suspect_host: float = 0.3, symbol_share: float = 0.1, dup_lines: float = 0.3) -> DataFrame:
+    """The rows of df that judge() keeps, with df's columns."""
+    counted = _counted(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(host).alias("host"), F.col(text).alias("text")))
+    return _judged(counted, reject_host, suspect_host, symbol_share, dup_lines).where("kept").select("_row.*")

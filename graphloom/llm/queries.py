@@ -57,15 +57,36 @@ def op10_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.ngramjoin import join_classes
+
+    return join_classes(read(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.lmscore import cross_entropy_difference
+
+    return cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.html import extract
+
+    return extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_feistel_pseudonyms,
         op2_host_quality_rules,
+        op3_cross_entropy_difference,
         op4_ring_shards,
         op5_length_histogram,
         op6_best_fit_packing,
+        op7_line_block_extraction,
         op8_curriculum_mix,
+        op9_ngram_jaccard_join,
         op10_canonical_digest,
     )
 }
