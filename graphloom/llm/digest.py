@@ -28,16 +28,17 @@ def digest(form: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(form)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(0x5EED), form)), 16, "0")))
 
 
-def told_apart(forms: DataFrame) -> DataFrame:
-    """Rows of (row, form, digest) whose bytes differ from those of the least row with the same digest: row, tag.
+def told_apart(forms: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of forms (row, form, digest) whose bytes differ from those of the least row with the same digest: row, tag.
 
-    Only digests with two rows or more are compared. Each row is held against one row of its bucket, so a bucket
-    costs as many comparisons as it has rows.
+    keys has digest and row of the same rows; digests that occur once are left aside with its help. The texts of the
+    others are exchanged once and written, and each row is held against one row of its bucket: as many comparisons as
+    rows, in joins that Spark splits where a bucket is large.
     """
-    first = forms.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1").select("digest", "first")
-    members = forms.join(first, "digest")
-    heads = members.where("row = first").select("first", F.col("form").alias("head")).dropDuplicates(["first"])
-    return members.where("row <> first").join(heads, "first").where("form <> head").select("row", F.concat(F.lit("-"), F.substring(F.sha2("form", 256), 1, 32)).alias("tag"))
+    first = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1").select("digest", "first")
+    members = written(forms.join(first, "digest"))
+    heads = members.where("row = first").select("digest", F.col("form").alias("head")).dropDuplicates(["digest"])
+    return members.where("row <> first").join(heads, "digest").where("form <> head").select("row", F.concat(F.lit("-"), F.substring(F.sha2("form", 256), 1, 32)).alias("tag"))
 
 
 def followed(df: DataFrame, block: int = 1024) -> DataFrame:
@@ -73,7 +74,7 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     A null text counts as empty. Rows of one doc_id with different texts get their own fingerprints.
     """
     forms = df.select("doc_id", canonical(F.col(text)).alias("form")).withColumn("digest", digest(F.col("form"))).withColumn("row", F.struct("doc_id", F.length("form").alias("n"), F.crc32("form").alias("c")))
-    odd = told_apart(forms)
+    odd = told_apart(forms, forms.select("digest", "row"))
     return forms.drop("form").join(odd, "row", "left").select("doc_id", F.concat("digest", F.coalesce("tag", F.lit(""))).alias("fingerprint"))
 
 
@@ -89,7 +90,6 @@ def edited_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     same = lambda other: (F.col("form") == F.col(other)).cast("double")
     key = F.struct("doc_id", F.length("form").alias("n"), F.crc32("form").alias("c"))
     made = written(rows.select("doc_id", "next_id", "n_chars", "edited_sha256", digest(F.col("form")).alias("digest"), digest(F.col("edited_form")).alias("edited_fingerprint"), same("edited_form").alias("near_edited"), same("next_form").alias("near_next"), key.alias("row")))
-    twice = made.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest")
-    forms = df.select("doc_id", canonical(F.col(text)).alias("form")).withColumn("digest", digest(F.col("form"))).join(twice, "digest", "left_semi")
-    odd = told_apart(forms.withColumn("row", key))
+    forms = df.select("doc_id", canonical(F.col(text)).alias("form")).withColumn("digest", digest(F.col("form"))).select("digest", key.alias("row"), "form")
+    odd = told_apart(forms, made.select("digest", "row"))
     return made.join(odd, "row", "left").select("doc_id", "n_chars", "edited_sha256", F.concat("digest", F.coalesce("tag", F.lit(""))).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "next_id")
