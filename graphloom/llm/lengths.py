@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.llm.tables import written
 from graphloom.llm.text import batch_arrays
 from graphloom.llm.tokens import default_path, encoder, vocabulary
 
@@ -34,6 +35,7 @@ def length_histogram(counts: DataFrame, length: str = "n_tokens", block: int = 1
     `block` lengths or one row per block. Null lengths are left out; an empty table gives no rows.
     """
     each = counts.where(F.col(length).isNotNull()).groupBy(F.col(length).alias("context_limit")).agg(F.count(F.lit(1)).alias("n_docs"))
+    each = written(each)  # read twice below, and far smaller than the counts
     each = each.withColumn("_t", F.col("context_limit") * F.col("n_docs")).withColumn("_b", F.floor(F.col("context_limit") / block))
     blocks = each.groupBy("_b").agg(F.sum("n_docs").alias("_bd"), F.sum("_t").alias("_bt"))
     after = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -31,6 +31,8 @@ def coded(texts, lower: bool):
     texts = pc.fill_null(texts, "")
     if pa.types.is_string(texts.type):
         texts = texts.cast(pa.large_string())
+    # a copy, as Arrow's string functions misplace the offsets of a slice
+    texts = texts.take(pa.array(np.arange(len(texts))))
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
@@ -39,16 +41,15 @@ def coded(texts, lower: bool):
     offsets = lists.offsets.to_numpy()
     offsets = offsets - offsets[0]
     uniques = flat.dictionary.to_pylist()
-    real = np.fromiter((w != "" for w in uniques), bool, len(uniques))
-    keep = real[codes] if len(codes) else np.zeros(0, bool)
+    keep = codes != uniques.index("") if "" in uniques else np.ones(len(codes), bool)
     before = np.concatenate(([0], np.cumsum(keep)))
     return before[offsets], codes[keep], uniques
 
 
-def batch_arrays(batch_iterator, *names):
-    """The named columns of each Arrow batch, as arrays of at most 64 MB of text."""
-    for batch in batch_iterator:
-        step = max(1, batch.num_rows // max(1, batch.nbytes // (48 << 20) + 1))
+def batch_arrays(batches, *names, part_bytes: int = 8 << 20):
+    """The named columns of Arrow batches, in parts of some `part_bytes`: what is built for a part stays small."""
+    for batch in batches:
+        step = max(1, batch.num_rows // (batch.nbytes // part_bytes + 1))
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield [part.column(part.schema.get_field_index(n)) for n in names]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 
 import numpy as np
@@ -11,7 +12,8 @@ from graphloom.llm.text import coded
 
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words whose ids one Python worker keeps; beyond it the memory starts afresh, results are the same.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+_ENDS = frozenset(",.")
 
 
 def default_path() -> str:
@@ -33,35 +35,51 @@ class WordEncoder:
     """
 
     def __init__(self, source: str, end: int | None = 0):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each Spark task is one thread
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = True
         pre = json.dumps(json.loads(source)["pre_tokenizer"])
-        if r"[^\\s\\p{L}\\p{N}]+" not in pre or "Removed" not in pre:
+        if r"[^\\s\\p{L}\\p{N}]+" not in pre or "Removed" not in pre or "</w>" not in source:
             raise ValueError("the tokenizer must drop white space and split letters from other signs")
+        known = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(known.values()) + 1, bool)
+        self.last[[i for t, i in known.items() if t.endswith("</w>")]] = True
         self.end = end
         self.ids: dict[str, bytes] = {}
 
     def _fill(self, new: list[str]) -> None:
-        """A letter followed by one comma or full stop at a word's end is two pre-tokens, so such words share their stem's ids."""
         ids = self.ids
-        stem = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in ",." and w[-2].isalpha()}
-        todo = list({*(stem.get(w, w) for w in new), ",", "."}.difference(ids))
-        for w, e in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
+        self._single([w for w in new if w.isalpha()])
+        todo = [w for w in new if w not in ids]
+        for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
             ids[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, s in stem.items():
-            ids[w] = ids[s] + ids[w[-1]]
+
+    def _single(self, plain: list[str], at_once: int = 2000) -> None:
+        """Words of letters alone are one pre-token each, so many are encoded as one text and parted after each word's end."""
+        for k in range(0, len(plain), at_once):
+            part = plain[k : k + at_once]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            got = np.array(found.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.last[got]) + 1) * 4
+            if len(ends) == len(part):  # else a letter that case or composition takes apart; they are encoded one by one
+                raw, begin = got.tobytes(), 0
+                for w, e in zip(part, ends.tolist(), strict=True):
+                    self.ids[w] = raw[begin:e]
+                    begin = e
 
     def encode(self, texts):
         offsets, codes, uniques = coded(texts, lower=True)
-        new = [w for w in uniques if w not in self.ids]
+        # a letter and then one comma or full stop at a word's end are two pre-tokens: the ids of the stem, then the sign's
+        stems = [w[:-1] if w[-1:] in _ENDS and w[-2:-1].isalpha() else w for w in uniques]
+        new = [w for w in {*stems, ",", "."} if w not in self.ids]
         if new and len(self.ids) + len(new) > CACHE_WORDS:
             self.ids.clear()
-            new = uniques
-        if new:
-            self._fill(new)
-        found = [self.ids[w] for w in uniques]
+            new = list({*stems, ",", "."})
+        self._fill(new)
+        ids = self.ids
+        found = [ids[s] if s is w else ids[s] + ids[w[-1]] for w, s in zip(uniques, stems, strict=True)]
         pool = np.frombuffer(b"".join(found), dtype="<u4")
         size = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
         start = np.cumsum(size) - size
