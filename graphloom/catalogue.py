@@ -433,9 +433,9 @@ def chunk_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.word_chunks(F.col("text"), 100, 20)).alias("chunk"))
 
 
-@query("SELECT p_brand AS label, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS name_norm, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey) END AS pk FROM part GROUP BY 1, 2", graph=False)
+@query("SELECT p_brand AS label, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS name_norm, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey)::VARCHAR END AS pk FROM part GROUP BY 1, 2", graph=False)
 def norm_exact_resolve(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.lit("c").alias("corpus"), F.col("p_brand").alias("label"), F.col("p_partkey").alias("pk"), T.ascii_norm(F.col("p_name"), True).alias("name_norm"))
+    rows = table(spark, sf_dir, "part").select(F.lit("c").alias("corpus"), F.col("p_brand").alias("label"), F.col("p_partkey").cast("string").alias("pk"), T.ascii_norm(F.col("p_name"), True).alias("name_norm"))
     return resolve.name_map(rows).drop("corpus")
 
 
@@ -444,7 +444,7 @@ def section_columns(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.own_prose(F.col("text")).alias("prose"), T.section_hash(F.col("doc_id").cast("string"), F.col("text")).alias("hash"), T.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("SELECT event_id, coalesce(CASE WHEN kind = 0 THEN value / 100 WHEN kind = 1 THEN 0.9 WHEN kind = 2 THEN least(1, value / 50) END, 0.0) AS confidence FROM (SELECT event_id, value, event_id % 4 AS kind FROM events)", graph=False)
+@query("SELECT event_id, coalesce(CASE WHEN kind = 0 THEN least(1, value / 100) WHEN kind = 1 THEN 0.9 WHEN kind = 2 THEN least(1, value / 50) END, 0.0) AS confidence FROM (SELECT event_id, value, event_id % 4 AS kind FROM events)", graph=False)
 def confidence_coerce(spark, sf_dir):
     raw = F.when(F.col("event_id") % 4 == 0, (F.col("value") / 100).cast("string")).when(F.col("event_id") % 4 == 1, F.lit('"High"')).when(F.col("event_id") % 4 == 2, F.concat(F.lit('"'), (F.col("value") / 50).cast("string"), F.lit('"'))).otherwise(F.lit("true"))
     return table(spark, sf_dir, "events").select("event_id", resolve.confidence(raw).alias("confidence"))
@@ -540,19 +540,19 @@ def _changes(spark, sf_dir):
 
 
 @query(
-    "WITH b AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 600 SECONDS THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR)), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS k FROM b) SELECT user_id::VARCHAR AS corpus, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(DISTINCT event_id) AS n_paths, count(*) AS n_events FROM g GROUP BY user_id, k",
+    "WITH b AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 14400 SECONDS THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR)), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS k FROM b) SELECT user_id::VARCHAR AS corpus, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(DISTINCT event_id) AS n_paths, count(*) AS n_events FROM g GROUP BY user_id, k",
     graph=False,
 )
 def debounce_sessions(spark, sf_dir):
-    return changes.bursts(_changes(spark, sf_dir), 600.0, 0).select("corpus", stamp("start").alias("start"), "n_paths", "n_events")
+    return changes.bursts(_changes(spark, sf_dir), 14400.0, 0).select("corpus", stamp("start").alias("start"), "n_paths", "n_events")
 
 
 @query(
-    "WITH b AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts) - epoch(lag(ts) OVER w) > 600 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR)), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS k FROM b), a AS (SELECT *, floor((epoch(ts) - min(epoch(ts)) OVER (PARTITION BY user_id, k)) / 1200) AS p FROM g) SELECT user_id::VARCHAR AS corpus, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events FROM a GROUP BY user_id, k, p",
+    "WITH b AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR epoch(ts) - epoch(lag(ts) OVER w) > 14400 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR)), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS k FROM b), a AS (SELECT *, floor((epoch(ts) - min(epoch(ts)) OVER (PARTITION BY user_id, k)) / 28800) AS p FROM g) SELECT user_id::VARCHAR AS corpus, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_events FROM a GROUP BY user_id, k, p",
     graph=False,
 )
 def debounce_max_age(spark, sf_dir):
-    return changes.bursts(_changes(spark, sf_dir), 600.0, 1200.0).select("corpus", stamp("start").alias("start"), "n_events")
+    return changes.bursts(_changes(spark, sf_dir), 14400.0, 28800.0).select("corpus", stamp("start").alias("start"), "n_events")
 
 
 @query("WITH u AS (SELECT 'conv/' || conv_id AS path, count(*) AS n FROM conversations GROUP BY 1) SELECT path, n AS n_sections, 90.5 - coalesce(sum(greatest(1, n)) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 1 AS due FROM u", graph=False)

@@ -139,7 +139,8 @@ def full_text_search(texts: DataFrame, query: str, k: int) -> DataFrame:
         return rows.select("pk", F.lit(0.0).alias("score")).limit(0)
     wanted = F.array(*map(F.lit, terms))
     hit = F.filter("t", lambda x: F.array_contains(wanted, x))
-    counts = [F.size(F.filter("h", lambda x, w=w: x == w)).alias(f"c{i}") for i, w in enumerate(terms)]
+    times = lambda w: F.size(F.filter("h", lambda x: x == w))
+    counts = [times(w).alias(f"c{i}") for i, w in enumerate(terms)]
     rows = rows.select("pk", "t", F.size("t").alias("n"), hit.alias("h")).select("pk", "t", "n", *counts)
     stats = rows.agg(F.count(F.lit(1)).alias("_docs"), F.avg("n").alias("_mean"), *[F.sum((F.col(f"c{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))])
     found = rows.where(" OR ".join(f"c{i} > 0" for i in range(len(terms))))
