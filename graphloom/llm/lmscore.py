@@ -136,4 +136,5 @@ def cross_entropy_difference(df: DataFrame, labels: DataFrame, target: str = "qu
     target rows, its target model is uniform. Repeated rows count and are scored each.
     """
     wanted = labels.where(target).select("doc_id").distinct().withColumn("target", F.lit(True))
-    return score(df, fit(df.select("doc_id", "text").join(wanted, "doc_id", "left"), F.col("target")))
+    # labels grow with the documents, so they are never broadcast
+    return score(df, fit(df.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left"), F.col("target")))
