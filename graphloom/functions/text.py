@@ -12,11 +12,14 @@ from fnmatch import fnmatchcase
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from graphloom.ontology import CASELESS
 
 SCAN = 200_000
-SECTION = "title string, level int, anchor string, body string, ordinal int, parent_anchor string, pos int"
+_STRING, _INT = types.StringType(), types.IntegerType()
+SECTION = types.StructType([types.StructField(n, t) for n, t in (("title", _STRING), ("level", _INT), ("anchor", _STRING), ("body", _STRING), ("ordinal", _INT), ("parent_anchor", _STRING), ("pos", _INT))])
+REFERENCE = types.StructType([types.StructField(n, _STRING) for n in ("edge_type", "target_type", "target_name", "rule")])
 
 # columns
 
@@ -220,7 +223,7 @@ def sections(text: str, lowest: int = 2, highest: int = 4) -> list[dict]:
 
 
 def sections_udf(lowest: int = 2, highest: int = 4):
-    @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ': ') for x in SECTION.split(', '))}>>")
+    @F.pandas_udf(types.ArrayType(SECTION))
     def parse(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sections(t or "", lowest, highest))
 
@@ -267,7 +270,7 @@ def lua_references(text: str, path: str) -> list[tuple[str, str, str, str]]:
 REFERENCES = {".md": markdown_references, ".lua": lua_references}
 
 
-@F.pandas_udf("array<struct<edge_type: string, target_type: string, target_name: string, rule: string>>")
+@F.pandas_udf(types.ArrayType(REFERENCE))
 def references(texts: pd.Series, paths: pd.Series, suffixes: pd.Series) -> pd.Series:
     """The typed references of each text by its format; first seen of equals."""
     found = [REFERENCES.get(s, lambda *_: [])(t or "", p) for t, p, s in zip(texts, paths, suffixes, strict=True)]
@@ -279,7 +282,7 @@ def normalised(name: str, label: str) -> str:
     return text.casefold() if label in CASELESS else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def norm(names: pd.Series, labels: pd.Series) -> pd.Series:
     return pd.Series([None if n is None else normalised(n, x) for n, x in zip(names, labels, strict=True)])
 
@@ -299,7 +302,7 @@ def tolerant_json(text: str) -> dict:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def json_body(texts: pd.Series) -> pd.Series:
     """The tolerant JSON of each text in strict form; null where there is none."""
 

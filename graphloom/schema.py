@@ -17,12 +17,25 @@ TYPES = {
 }
 # Properties that phases write beside the declared ones.
 EXTRA = {"File": ["inferred_at", "summary_input_hash"], "Section": ["hash", "inferred_at", "summary_input_hash"], "Corpus": ["node_count", "edge_count"], "Meta": ["applied"]}
+_ELEMENTS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def struct(fields: list[tuple[str, str]]) -> T.StructType:
+    """A schema from names and types, also where no session runs to parse one."""
+    kind = lambda t: T.ArrayType(kind(t[6:-1])) if t.startswith("array<") else _ELEMENTS[t]
+    return T.StructType([T.StructField(name, kind(t)) for name, t in fields])
+
+
+def fields(text: str) -> list[tuple[str, str]]:
+    return [tuple(x.split()) for x in text.split(", ")]
+
+
 ENTITY_EXTRA = ["name_norm", "embedding", "description_fragments", "corpus"]
-EDGE = T.StructType.fromDDL("src_label string, src_pk string, edge_type string, dst_label string, dst_pk string, origin string, confidence double, reason string, method string")
+EDGE = struct(fields("src_label string, src_pk string, edge_type string, dst_label string, dst_pk string, origin string, confidence double, reason string, method string"))
 EDGE_KEY = ["src_label", "src_pk", "edge_type", "dst_label", "dst_pk"]
 #: Columns of the view over all labels.
-VIEW = T.StructType.fromDDL(
-    "label string, pk string, corpus string, path string, id string, name string, title string, summary string, description string, status string, updated timestamp, inferred_at timestamp"
+VIEW = struct(
+    fields("label string, pk string, corpus string, path string, id string, name string, title string, summary string, description string, status string, updated timestamp, inferred_at timestamp")
 )
 
 
@@ -32,7 +45,7 @@ def columns(label: str) -> list[str]:
 
 
 def node_schema(label: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{c}` {TYPES.get(c, 'string')}" for c in columns(label)))
+    return struct([(c, TYPES.get(c, "string")) for c in columns(label)])
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
