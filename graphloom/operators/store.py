@@ -5,6 +5,7 @@ Nothing runs until a result is read. save() and load() keep a store as Parquet,
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -279,6 +280,20 @@ class GraphStore:
 
     # keeping
 
+    def settle(self, *labels: str) -> None:
+        """Write the edges and the nodes of some labels (all, unless named) to the shared checkpoint folder, and go on from
+        there: plans stay short, and a lost executor costs no rework of earlier phases."""
+        context = self.spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            found = self.spark.conf.get("spark.checkpoint.dir", None)
+            if found is None and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='graphloom-')}")
+        for label in labels or list(self._nodes):
+            if label in self._nodes:
+                self._nodes[label] = self._nodes[label].checkpoint()
+        self._edges = self._edges.checkpoint()
+
     def save(self, path: str) -> None:
         for label, df in self._nodes.items():
             writer = df.write.mode("overwrite")

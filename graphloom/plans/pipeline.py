@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import text as T
-from graphloom.ontology import Ontology
+from graphloom.ontology import MINTABLE, PRIMARY_KEY, Ontology
 from graphloom.operators import resolve
 from graphloom.operators.store import GraphStore
 from graphloom.schema import EDGE, conform
@@ -134,7 +133,8 @@ def roll_up(store: GraphStore, bodies: DataFrame, provider: Provider) -> None:
 
     bodies: id, body. At most six rounds, one per heading level.
     """
-    for level in range(6, 0, -1):
+    levels = sorted((r["level"] for r in store.nodes("Section").select("level").distinct().collect() if r["level"]), reverse=True)
+    for level in levels:  # six at most
         here = store.nodes("Section").where(F.col("level") == level)
         links = store.edges("PARENT_OF").join(here.select(F.col("id").alias("src_pk")), "src_pk", "left_semi").select(F.col("src_pk").alias("pk"), F.col("dst_pk").alias("child"))
         rows = links.select("pk").distinct().join(rollup_inputs(store.nodes("Section"), links), "pk", "left").join(bodies.select(F.col("id").alias("pk"), T.own_prose(F.col("body")).alias("prose")), "pk", "left")
@@ -144,7 +144,10 @@ def roll_up(store: GraphStore, bodies: DataFrame, provider: Provider) -> None:
         rows = rows.join(known, "pk").where(~F.col("summary_input_hash").eqNullSafe(F.col("_had")))
         rows = rows.withColumn("_text", F.concat_ws("\n", "prose", F.array_join("summaries", "\n")))
         done = summarised(rows, "_text", provider).where("summary IS NOT NULL").select(F.col("pk").alias("id"), "summary", "summary_input_hash")
+        if done.isEmpty():
+            continue
         store.upsert_nodes("Section", embedded(done, "summary", provider).withColumn("summary_generated_at", F.current_timestamp()))
+        store.settle("Section")
 
 
 def derive_files(store: GraphStore, provider: Provider) -> None:
@@ -180,12 +183,12 @@ def relate(store: GraphStore, units: DataFrame, ontology: Ontology, inferred: Da
     solved = files.unionByName(parts).unionByName(entities)
     rows = rows.join(solved, "ref", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("pk").isNull(), "target is unknown").when((F.col("pk") == F.col("src_pk")) & (F.col("target_type") == F.col("src_label")), "target is the source")))
     kept = rows.where("drop_reason IS NULL").select("src_label", "src_pk", "edge_type", F.col("target_type").alias("dst_label"), F.col("pk").alias("dst_pk"), F.lit("inferred").alias("origin"), "confidence", "reason", "method", "pos")
-    kept = resolve.first_of_triples(kept).drop("pos")
+    kept = resolve.first_of_triples(kept).drop("pos").checkpoint()  # read once for every label below
     keys = units.select("label", "pk").distinct()
     store.delete_edges(keys, origin="inferred")
-    for label in sorted(set(ontology.nodes) - {"File", "Section", "Corpus", "Meta"}):
-        key = {"Risk": "description"}.get(label, "id" if "id" in ontology.nodes[label] else "name")
-        store.upsert_nodes(label, kept.where(F.col("dst_label") == label).select(F.col("dst_pk").alias(key)).distinct())
+    met = {r["dst_label"] for r in kept.select("dst_label").distinct().collect()}
+    for label in sorted((set(ontology.nodes) - {"File", "Section", "Corpus", "Meta"}) & met):
+        store.upsert_nodes(label, kept.where(F.col("dst_label") == label).select(F.col("dst_pk").alias(PRIMARY_KEY[label])).distinct())
     store.upsert_edges(kept)
     for label, key in (("File", "path"), ("Section", "id")):
         store.upsert_nodes(label, keys.where(F.col("label") == label).select(F.col("pk").alias(key)).withColumn("inferred_at", F.current_timestamp()))
@@ -236,29 +239,36 @@ class Indexer:
         whole = others.select(F.lit("File").alias("label"), F.col("path").alias("pk"), "path", F.col("type").alias("suffix"), "text")
         nodes = files.select("path", "name", "type", "hash", "size", "corpus").withColumn("updated", F.current_timestamp())
         store.upsert_nodes("File", nodes)
+        store.settle("File")
         plain = embedded(summarised(others, "text", self.provider), "text", self.provider).select("path", "summary", "embedding")
         store.upsert_nodes("File", plain)
         units = whole
         if split:
-            parts = parse_sections(marked, c.heading_min_level, c.heading_max_level)
+            parts = parse_sections(marked, c.heading_min_level, c.heading_max_level).checkpoint()
             store.upsert_nodes("Section", embedded(parts, "body", self.provider).withColumn("updated", F.current_timestamp()))
             stale = store.nodes("Section").join(marked.select("path"), "path", "left_semi").join(parts.select("id"), "id", "left_anti")
             store.detach_delete(stale.select(F.lit("Section").alias("label"), F.col("id").alias("pk")))
+            store.settle("Section")
             store.upsert_edges(structural_edges(parts))
+            store.settle("File")
             pending = parts.join(leaves(store).where("summary IS NULL").select("id"), "id", "left_semi")
             store.upsert_nodes("Section", summarised(pending, "body", self.provider).select("id", "summary").where("summary IS NOT NULL"))
+            store.settle("Section")
             roll_up(store, parts.select("id", "body"), self.provider)
             derive_files(store, self.provider)
+            store.settle("File", "Section")
             units = units.unionByName(self._units(marked, parts))
         relate(store, units, self.ontology)
-        for row_label in ("Artifact", "Ticket", "Pattern"):
-            due = resolve.merge_due(store).where(F.col("label") == row_label)
-            key = "name" if row_label == "Pattern" else "id"
-            store.upsert_nodes(row_label, due.select(F.col("pk").alias(key), "description"))
+        store.settle()
+        for label in sorted(MINTABLE & set(store._nodes) - {"Risk"}):
+            due = resolve.merge_due(store).where(F.col("label") == label)
+            store.upsert_nodes(label, due.select(F.col("pk").alias(PRIMARY_KEY[label]), "description"))
         store.close_corpus(c.name)
+        store.settle()
 
     def bootstrap(self) -> Result:
-        files = scan(self.store.spark, self.config)
+        self.store.settle()
+        files = scan(self.store.spark, self.config).checkpoint()
         self.index(files)
         return Result(files.count(), 0, 0)
 
@@ -267,8 +277,9 @@ class Indexer:
 
     def increment(self) -> Result:
         """Index what is new or changed, delete what is gone, leave the rest; empty files are left as they are."""
-        files = scan(self.store.spark, self.config)
-        actions = self.changes(files).cache()
+        self.store.settle()
+        files = scan(self.store.spark, self.config).checkpoint()
+        actions = self.changes(files).checkpoint()
         counts = {r["action"]: r["n"] for r in file_actions(actions).collect()}
         gone = actions.where("action = 'removed'").select("path")
         parts = self.store.nodes("Section").join(gone, "path", "left_semi").select(F.lit("Section").alias("label"), F.col("id").alias("pk"))
@@ -279,7 +290,3 @@ class Indexer:
             self.store.clear_units(due.select(F.lit("File").alias("label"), F.col("path").alias("pk")))
             self.index(due)
         return Result(n, counts.get("removed", 0), counts.get("unchanged", 0) + counts.get("added", 0) + counts.get("changed", 0) - n)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
