@@ -85,6 +85,7 @@ def shard(df: DataFrame, key: Column, shards: int, vnodes: int = 64, slack: floa
     plan = spark.createDataFrame(rows, "_arc int, _part int, _lo long, _hi long, shard int, _slot long, home_shard int")
     # at most 16 * arcs + segments rows: a bound that the ring sets, not the table
     place = Window.partitionBy("_arc", "_part").orderBy("_at", "_tie")
-    ranked = hashed.drop("shard", "slot", "home_shard").withColumn("_tie", F.hash(*[F.col(f"`{c}`") for c in df.columns if dict(df.dtypes)[c].split("<")[0] not in ("map", "variant")])).withColumn("_rank", F.row_number().over(place) - 1)
+    told = [F.col(f"`{c}`") for c, kind in df.dtypes if kind.split("<")[0] not in ("map", "variant")]
+    ranked = hashed.withColumn("_tie", F.hash(*told)).withColumn("_rank", F.row_number().over(place) - 1).drop("shard", "slot", "home_shard")
     joined = ranked.join(F.broadcast(plan), ["_arc", "_part"]).where("_rank >= _lo AND _rank < _hi")
     return joined.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo")).drop("_at", "_arc", "_part", "_lo", "_hi", "_slot", "_rank", "_tie")
