@@ -120,20 +120,22 @@ def _ssn(m: Column, key: Column, inverse: bool) -> Column:
 
 
 def _phone(m: Column, key: Column, inverse: bool) -> Column:
-    """The country code stays; a North American area code and exchange begin with 2 to 9 before and after."""
+    """The country code stays. In North American numbers the first digits of area code and exchange stay on their side
+    of 2, so that valid numbers remain valid and no others become so."""
     code = F.regexp_extract(m, r"^\+\d{1,3}", 0)
 
     def rest(r: Column) -> Column:
         digits = F.regexp_replace(r, r"\D", "")
         american = (F.length(digits) == 10) & ((code == "") | (code == "+1"))
-        low = lambda i: F.when(american & i.isin(0, 3), F.lit(2)).otherwise(F.lit(0))
+        bound = lambda i: american & i.isin(0, 3)
+        low = lambda x, i: F.when(bound(i) & (x > 1), F.lit(2)).otherwise(F.lit(0))
 
         def moved(v: Column) -> Column:
-            sizes = F.transform(v, lambda _, i: 10 - low(i))
-            return _into(r, F.array_join(F.transform(feistel(F.transform(v, lambda x, i: x - low(i)), sizes, key, inverse), lambda x, i: (x + low(i)).cast("string")), ""))
+            sizes = F.transform(v, lambda x, i: F.when(bound(i), F.when(x > 1, 8).otherwise(2)).otherwise(10))
+            new = feistel(F.transform(v, lambda x, i: x - low(x, i)), sizes, key, inverse)
+            return _into(r, F.array_join(F.zip_with(new, F.transform(v, low), lambda x, a: (x + a).cast("string")), ""))
 
-        good = F.length(digits).between(7, 14) & ~(american & digits.rlike("^[01]|^...[01]"))
-        return F.when(good, F.concat(code, bind(F.transform(F.split(digits, ""), lambda c: c.cast("int")), moved)))
+        return F.when(F.length(digits).between(7, 14), F.concat(code, bind(F.transform(F.split(digits, ""), lambda c: c.cast("int")), moved)))
 
     return bind(F.substring(m, F.length(code) + 1, F.length(m)), rest)
 
