@@ -18,7 +18,7 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAIN = frozenset(("article", "main"))
+MAIN = {"main": 1, "article": 2}
 NAMES_OUT = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored promo promos promotion sidebar sidebars"
     " widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead footer foot cookie cookies consent gdpr notice notices"
@@ -31,43 +31,45 @@ ROLES_OUT = frozenset("navigation banner contentinfo complementary search form d
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 WORD = re.compile(r"[a-z]+")
+#: Names that run words together.
+JOINED = re.compile(r".*(?:nav|menu|sidebar|footer|comments?|cookies?|banner)|(?:advert|comment|promo|newsletter|sponsor).*")
 
 
-def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element's text is left out, and whether it holds the main text, by its name and attributes."""
+def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, int]:
+    """Whether an element's text is left out, and whether it holds the main text (1) or an article (2), by its name and attributes."""
     if name in LEFT_OUT or (name == "header" and not inside):
-        return True, False
-    main = name in MAIN
+        return True, 0
+    main = MAIN.get(name, 0)
     if "=" not in attributes and "hidden" not in attributes:
         return False, main
     words: set[str] = set()
     for key, a, b, c, alone in ATTRIBUTE.findall(attributes):
         key, value = (key or alone).lower(), (a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True, False
+            return True, 0
         if key == "role":
             if value in ROLES_OUT:
-                return True, False
-            main = main or value in ("main", "article")
+                return True, 0
+            main = max(main, MAIN.get(value, 0))
         elif key in ("class", "id"):
             words.update(WORD.findall(value))
     if name in ("html", "body"):
         return False, main
-    if words & NAMES_OUT:
-        return True, False
+    if words & NAMES_OUT or any(map(JOINED.fullmatch, words)):
+        return True, 0
     if "header" in words and not inside and not words & NAMES_MAIN:
-        return True, False
-    return False, main or (name in ("div", "section") and bool(words & {"article"}))
+        return True, 0
+    return False, 2 if name in ("div", "section") and "article" in words else main
 
 
-def lines(page: str) -> list[tuple[str, bool, bool, int, bool]]:
-    """The blocks of a page in order: text, left out, inside a main element, characters of links, a heading.
+def lines(page: str) -> list[tuple[str, bool, int, int, bool]]:
+    """The blocks of a page in order: text, left out, how far inside the main text, characters of links, a heading.
 
     Text is taken between tags, character references decoded, white space as one space. Comments, declarations,
     scripts, styles and the like give none. A tag that is never closed ends with the element around it.
     """
-    out: list[tuple[str, bool, bool, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, left out, main: with what stands above
+    out: list[tuple[str, bool, int, int, bool]] = []
+    stack: list[tuple[str, bool, int]] = []  # name, left out, main: with what stands above
     buffer: list[str] = []
     linked, in_link, heading = 0, 0, False
 
@@ -76,7 +78,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, int, bool]]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                top = stack[-1] if stack else ("", False, False)
+                top = stack[-1] if stack else ("", False, 0)
                 out.append((text, top[1], top[2], min(linked, len(text)), heading))
             buffer.clear()
         linked = 0
@@ -123,16 +125,16 @@ def lines(page: str) -> list[tuple[str, bool, bool, int, bool]]:
             continue
         if block and stack and stack[-1][0] == "p":
             stack.pop()
-        above = stack[-1] if stack else ("", False, False)
+        above = stack[-1] if stack else ("", False, 0)
         if name in ("li", "dt", "dd", "tr", "td", "th") and above[0] == name:
             stack.pop()
-            above = stack[-1] if stack else ("", False, False)
+            above = stack[-1] if stack else ("", False, 0)
         if block or "=" in found[3] or name in LEFT_OUT:
-            left_out, main = _marks(name, found[3], above[2])
+            left_out, main = _marks(name, found[3], above[2] > 0)
             if block or left_out:
                 if not block:
                     flush()
-                stack.append((name, above[1] or left_out, above[2] or main))
+                stack.append((name, above[1] or left_out, max(above[2], main)))
     flush()
     return out
 
@@ -140,17 +142,17 @@ def lines(page: str) -> list[tuple[str, bool, bool, int, bool]]:
 def main_text(page: str | None, window: int = 3, surge: int = 86, share: float = 0.2) -> str:
     """The blocks between surge and dive of the line-block distribution, joined by newlines.
 
-    A line's weight is its text outside links; lines that the markup leaves out weigh nothing, and where a main element
-    has text, so do lines outside it. The sum over `window` lines surges where it passes the threshold and dives where
+    A line's weight is its text outside links; lines that the markup leaves out weigh nothing, and where an article, or
+    else a main element, has text, so do lines outside it. The sum over `window` lines surges where it passes the threshold and dives where
     it falls to 0; between them all weighted lines are kept. With a main element every text surges. Without one the
     sum must pass `surge` characters (or the page's largest sum, if that is less), lines that lead up to the surge
     by links alone are not kept, and runs with less than `share` of the largest run's text are not either.
     """
     found = lines(page or "")
-    marked = any(main and not out for _, out, main, _, _ in found)
+    marked = max((main for _, out, main, _, _ in found if not out), default=0)
     weights = []
     for text, out, main, linked, _ in found:
-        outside = out or (marked and not main)
+        outside = out or main < marked
         weights.append(0 if outside else len(text) if marked else max(0, len(text) - linked))
     n = len(weights)
     sums = [sum(weights[i : i + window]) for i in range(n)]

@@ -249,6 +249,7 @@ def test_extraction(spark):
         ("<article><p>Kept</p><div class='ad'>buy</div><form><p>mail</p></form><section id='comments'><p>first!</p></section><p>Last", "Kept\nLast"),
         ("<header>site</header><article><header><h1>Head</h1></header><p>Text</p></article><div class=\"cookie-notice\">ok?</div>", "Head\nText"),
         ("<body><ul><li><a href='x'>Home</a></li><li><a href='y'>News</a></li></ul><div><p>" + "long text here. " * 12 + "</p><p>Short.</p><p>" + "more words follow. " * 9 + "</p></div><div id=footer>&copy; me</div>", ("long text here. " * 12).strip() + "\nShort.\n" + ("more words follow. " * 9).strip()),
+        ("<main><div>Home</div><article class='post'><p>In</p><div class=leftnav>no</div></article><p>Teaser</p></main>", "In"),
         ("<article><!-- <p>no</p> --><p hidden>no</p><p style='display:none'>no</p><p>a &lt;b&gt; &#233;</p></article>", "a <b> é"),
     ],
 )
