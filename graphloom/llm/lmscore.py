@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import sums
 from graphloom.llm.text import batch_arrays, coded
+from graphloom.llm.tokens import forget
 
 #: The shared vocabulary: every word of the corpus has one of these hashed ids. One more stands for a text's start.
 WORDS = 1 << 18
@@ -51,6 +52,7 @@ def counts(df: DataFrame, target: Column) -> np.ndarray:
     def scan(batches):
         import pyarrow as pa
 
+        forget()
         every = np.zeros(4 * size, np.int64)
         for texts, groups in batch_arrays(batches, "text", "group"):
             offsets, ids, before, pairs = encoded(texts)

@@ -6,16 +6,22 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm import sums
 from graphloom.llm.components import components
 from graphloom.llm.tables import written
 from graphloom.llm.text import batch_arrays, coded
+from graphloom.llm.tokens import forget
 
 #: Slots of the hashed document frequencies: 8 MB on each executor, whatever the corpus.
 SLOTS = 1 << 20
 #: Bits of the filter that spares texts without candidates: 2 MB on each executor.
 FILTER_BITS = 1 << 24
+#: Text that a task turns into n-grams at a time.
+PART_BYTES = 4 << 20
+#: Parts of a frequent n-gram's rows.
+PARTS = 64
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -64,9 +70,10 @@ def _described(df: DataFrame, width: int) -> DataFrame:
     def scan(batches):
         import pyarrow as pa
 
+        forget()
         counts = np.zeros(SLOTS, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-        for keys, texts in batch_arrays(batches, "doc_id", "text"):
+        for keys, texts in batch_arrays(batches, "doc_id", "text", part_bytes=PART_BYTES):
             sets = shingle_sets(texts, width)
             if sets:
                 counts += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
@@ -79,16 +86,18 @@ def _described(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(scan, "doc_id long, n long, print long, chunk int, counts binary")
 
 
-def _prefixes(df: DataFrame, width: int, num: int, den: int, counts) -> DataFrame:
+def _prefixes(df: DataFrame, width: int, num: int, den: int, counts, hot: int) -> DataFrame:
     """The rarest n-grams of each document that any partner must share one of: gram, its rank pos, the set's print and
-    n, and rest: how many later n-grams fall in each of eight hash classes, a byte each. A task skips sets it has seen."""
+    n, and rest: how many later n-grams fall in each of eight hash classes, a byte each. part deals out n-grams whose
+    slot counts over `hot` documents, and is 0 for others. A task skips sets it has seen."""
 
     def scan(batches):
         import pyarrow as pa
 
+        forget()
         often, seen = counts.value, set()
-        for (texts,) in batch_arrays(batches, "text"):
-            grams, pos, of, sizes, rest = [], [], [], [], []
+        for (texts,) in batch_arrays(batches, "text", part_bytes=PART_BYTES):
+            grams, pos, of, sizes, rest, parts = [], [], [], [], [], []
             for s in shingle_sets(texts, width):
                 n = len(s)
                 if n * (den - num) < num or (p := _print(s)) in seen:
@@ -105,10 +114,27 @@ def _prefixes(df: DataFrame, width: int, num: int, den: int, counts) -> DataFram
                 of.append(np.full(k, p))
                 sizes.append(np.full(k, n))
                 rest.append(np.ascontiguousarray(after).view("<i8")[:, 0])
+                parts.append(np.where(often[_slot(first)] > hot, 1 + p % PARTS, 0))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((grams, pa.int64()), (pos, pa.int32()), (of, pa.int64()), (sizes, pa.int32()), (rest, pa.int64()))], names=["gram", "pos", "print", "n", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((grams, pa.int64()), (parts, pa.int32()), (pos, pa.int32()), (of, pa.int64()), (sizes, pa.int32()), (rest, pa.int64()))], names=["gram", "part", "pos", "print", "n", "rest"])
 
-    return df.select("text").mapInArrow(scan, "gram long, pos int, print long, n int, rest long")
+    return df.select("text").mapInArrow(scan, "gram long, part int, pos int, print long, n int, rest long")
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """The prefix rows whose n-gram several sets hold, each with lead, the row in which it stands first.
+
+    The rows are exchanged once, by n-gram and part. A frequent n-gram's parts find their own leaders, and the least of
+    these, PARTS at most for each, is joined back: no task holds more than a part of a frequent n-gram's rows.
+    """
+    lead = F.min(F.struct("pos", "n", "print", "rest"))
+    inside = Window.partitionBy("gram", "part")
+    near = rows.withColumn("lead", lead.over(inside)).withColumn("_p", F.min("print").over(inside)).withColumn("_q", F.max("print").over(inside))
+    near = written(near.where("part > 0 OR _p <> _q"))
+    few = near.where("part = 0").drop("part", "_p", "_q")
+    whole = near.where("part > 0").groupBy("gram").agg(F.min("lead").alias("lead"), F.min("_p").alias("_p"), F.max("_q").alias("_q")).where("_p <> _q").drop("_p", "_q")
+    many = near.where("part > 0").drop("lead", "part", "_p", "_q").join(whole, "gram")
+    return few.unionByName(many).dropDuplicates(["gram", "print"])
 
 
 def _passes(a: str, b: str, num: int, den: int) -> Column:
@@ -148,7 +174,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
             h = batch.column(1).to_numpy()
             batch = batch.filter(pa.array((table[h // 8] >> (h % 8).astype(np.uint8)) & 1 == 1))
             if batch.num_rows:
-                for (texts,) in batch_arrays([batch], "text"):
+                for (texts,) in batch_arrays([batch], "text", part_bytes=PART_BYTES):
                     sets = shingle_sets(texts, width)
                     yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["print", "grams"])
 
@@ -173,7 +199,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
-def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, hot: int = 10_000) -> DataFrame:
     """doc_id, n_shingles, component_id and linked for each row of df (doc_id, text): documents link where
     den * intersection >= num * union of their sets of `width`-word shingles; component_id is the least doc_id
     that links lead to. Null, empty and blank texts have no shingles and link with nothing.
@@ -192,13 +218,12 @@ def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     spark = df.sparkSession
     scanned = written(_described(docs, width))
     rows = scanned.where("chunk IS NULL").select("doc_id", "n", "print")
-    often = spark.sparkContext.broadcast(sums.gather(scanned.where("chunk IS NOT NULL").select("chunk", "counts"), SLOTS))
+    counts = sums.gather(scanned.where("chunk IS NOT NULL").select("chunk", "counts"), SLOTS)
     classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    prefixes = written(_prefixes(docs, width, num, den, often))
+    # a slot holds several n-grams: those far above the mean hold a frequent one
+    limit = hot + 4 * int(counts.mean())
+    held = written(_held(_prefixes(docs, width, num, den, spark.sparkContext.broadcast(counts), limit)))
 
-    lead = F.min(F.struct("pos", "n", "print", "rest")).alias("lead")
-    shared = prefixes.groupBy("gram").agg(F.min("print").alias("_p"), F.max("print").alias("_q"), lead).where("_p <> _q").drop("_p", "_q")
-    held = written(prefixes.join(shared, "gram").dropDuplicates(["gram", "print"]))
     ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     led = held.alias("x").where(F.col("x.print") != F.col("x.lead.print")).withColumn("y", F.col("x.lead"))
     tried = written(ordered(led.where(_passes("x", "y", num, den)), F.col("x.print"), F.col("y.print")))

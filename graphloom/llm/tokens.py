@@ -12,7 +12,7 @@ from graphloom.llm.text import coded
 
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words whose ids one Python worker keeps; beyond it the memory starts afresh, results are the same.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 _ENDS = frozenset(",.")
 
 
@@ -106,3 +106,8 @@ def encoder(source: str, end: int | None = 0) -> WordEncoder:
     if key not in kept:
         kept[key] = WordEncoder(source, end)
     return kept[key]
+
+
+def forget() -> None:
+    """Give back the memory that encoders of earlier tasks hold in this worker process."""
+    sys.__dict__.pop("_graphloom_encoders", None)
