@@ -103,7 +103,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(cut: DataFrame, capacity: int = 2048, salt: int = 256) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, salt: int = 128) -> DataFrame:
     """Adds sequence_id and offset (gapless from 0) to a table of pieces with doc_id, piece and length (1 to capacity).
 
     Only counts by (length, salt) reach the driver: at most capacity * salt rows. Equal lengths are ranked inside
