@@ -48,11 +48,14 @@ def followed(df: DataFrame, block: int = 1024) -> DataFrame:
     document is copied to the block before it, so that no sort over all documents is needed. Takes doc_id and text.
     """
     rows = df.withColumn("_b", F.floor(F.col("doc_id") / block))
-    blocks = rows.groupBy("_b").agg(F.max("doc_id").alias("_head"))
-    # one row per block of doc_ids
-    order = Window.orderBy(F.col("_b").asc())
-    every = Window.orderBy(F.col("_b").asc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = blocks.select(F.col("_b").alias("_hb"), "_head", F.coalesce(F.lead("_b").over(order), F.min("_b").over(every)).alias("_before"))
+    blocks = rows.groupBy("_b").agg(F.max("doc_id").alias("_head")).withColumn("_s", F.floor(F.col("_b") / block))
+    # the next block that has rows: inside a range of blocks, or the first of the next range; one row per range is sorted alone
+    order = Window.orderBy(F.col("_s").asc())
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = blocks.where("_s IS NOT NULL").groupBy("_s").agg(F.min("_b").alias("_first"))
+    ranges = ranges.select("_s", F.coalesce(F.lead("_first").over(order), F.min("_first").over(every)).alias("_next"))
+    inside = Window.partitionBy("_s").orderBy("_b")
+    heads = blocks.join(ranges, "_s").select(F.col("_b").alias("_hb"), "_head", F.coalesce(F.lead("_b").over(inside), "_next").alias("_before"))
     rows = rows.join(heads, (F.col("_b") == F.col("_hb")) & (F.col("doc_id") == F.col("_head")), "left").drop("_hb", "_head")
     own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("copied"))
     sent = F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_before").alias("b"), F.lit(True).alias("copied"))))

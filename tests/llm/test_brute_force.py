@@ -370,6 +370,16 @@ def test_digests(spark, docs):
     assert all(len(v) == 1 for v in prints.values()) and len({x for v in prints.values() for x in v}) == len(prints)
 
 
+def test_followers_across_blocks(spark):
+    from graphloom.llm.digest import followed
+
+    ids = [0, 1, 2, 5, 9, 10, 30, 31, 64, 1000, 1001, -7]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: (r["next_id"], r["next_text"]) for r in followed(df, 2).collect()}
+    order = sorted(ids, reverse=True)
+    assert got == {i: (order[(k + 1) % len(ids)], f"t{order[(k + 1) % len(ids)]}") for k, i in enumerate(order)}
+
+
 def test_digest_forms(spark):
     from graphloom.llm.digest import fingerprints, told_apart
 
