@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from graphloom.llm import sums
 from graphloom.llm.components import components
-from graphloom.llm.tables import written
+from graphloom.llm.tables import drop, written
 from graphloom.llm.text import batch_arrays, coded
 from graphloom.llm.tokens import forget
 
@@ -134,7 +134,9 @@ def _held(rows: DataFrame) -> DataFrame:
     few = near.where("part = 0").drop("part", "_p", "_q")
     whole = near.where("part > 0").groupBy("gram").agg(F.min("lead").alias("lead"), F.min("_p").alias("_p"), F.max("_q").alias("_q")).where("_p <> _q").drop("_p", "_q")
     many = near.where("part > 0").drop("lead", "part", "_p", "_q").join(whole, "gram")
-    return few.unionByName(many).dropDuplicates(["gram", "print"])
+    held = written(few.unionByName(many).dropDuplicates(["gram", "print"]))
+    drop(near)
+    return held
 
 
 def _passes(a: str, b: str, num: int, den: int) -> Column:
@@ -222,7 +224,7 @@ def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, h
     classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"))
     # a slot holds several n-grams: those far above the mean hold a frequent one
     limit = hot + 4 * int(counts.mean())
-    held = written(_held(_prefixes(docs, width, num, den, spark.sparkContext.broadcast(counts), limit)))
+    held = _held(_prefixes(docs, width, num, den, spark.sparkContext.broadcast(counts), limit))
 
     ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     led = held.alias("x").where(F.col("x.print") != F.col("x.lead.print")).withColumn("y", F.col("x.lead"))
@@ -234,9 +236,12 @@ def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, h
     lead_roots = roots.select(F.col("node").alias("_lp"), F.col("root").alias("_lr"))
     part = part.withColumn("_lp", F.col("lead.print")).join(lead_roots, "_lp", "left").withColumn("outside", F.col("root") != F.coalesce("_lr", "_lp"))
     part = written(part.select("gram", "pos", "print", "n", "rest", "root", "outside"))
+    drop(held)
     outer = part.where("outside")
     met = outer.alias("x").join(part.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _passes("x", "y", num, den))
     more = written(ordered(met, F.col("x.print"), F.col("y.print")).join(tried, ["a", "b"], "left_anti"))
+    drop(part)
+    drop(tried)
     links = links.unionByName(written(_verified(docs, classes, more, width, num, den)))
 
     roots = components(links)
