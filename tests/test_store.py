@@ -106,7 +106,7 @@ def test_save_and_load(spark, store, tmp_path):
 
 
 def test_tools(store):
-    assert tools.describe_project(store, n=1).first()["path"] == "c.md" or tools.describe_project(store).count() == 3
+    assert [tuple(r) for r in tools.describe_project(store, n=1).select("path", "inbound").collect()] == [("a.md", 1)]
     assert keys(tools.outbound(store, "c.md"), "id", "edge_type") == [("T-1", "REFERENCES")]
     assert [r["path"] or r["id"] for r in tools.related(store, "a.md", 9).collect()] == ["b.md", "c.md", "T-1"]
     assert tools.explain_relationship(store, "T-1", "c.md").first()["outbound"] is False
@@ -158,13 +158,13 @@ def test_cypher(store, spark):
     assert run("MATCH (f:File) RETURN f.path AS p ORDER BY p DESC SKIP 1 LIMIT 1") == [("b.md",)]
     assert run("MATCH (a)-[r]->(a) RETURN a.path AS p, type(r) AS t") == [("a.md", "REFERENCES")]
     assert sorted(run("MATCH (a:File)-[*1..2]->(b) RETURN DISTINCT b.path AS p, b.id AS i"), key=repr) == sorted([("b.md", None), ("c.md", None), ("a.md", None), (None, "T-1")], key=repr)
-    assert run("MATCH (f:File) OPTIONAL MATCH (f)-[r:REFERENCES]->(t:Ticket) WITH f, count(r) AS n WHERE n = 0 RETURN collect(f.path) AS ps") == [(["a.md", "b.md"],)] or True
+    assert sorted(run("MATCH (f:File) OPTIONAL MATCH (f)-[r:REFERENCES]->(t:Ticket) WITH f, count(r) AS n WHERE n = 0 RETURN collect(f.path) AS ps")[0][0]) == ["a.md", "b.md"]
     assert run("MATCH (t:Ticket) WHERE t.status IN $s AND t.title CONTAINS 'auth' RETURN t.id AS id", s=["open"]) == [("T-1",)]
     assert run("MATCH (f:File) WHERE NOT (f)-[:REFERENCES]->(:File) RETURN f.path AS p") == [("c.md",)]
     assert run("MATCH (a:File)-[r]-(b) WHERE startNode(r) = a RETURN count(*) AS n") == [(4,)]
     assert run("MATCH (f:File) WHERE any(x IN labels(f) WHERE x IN ['File']) AND f.path ENDS WITH '.md' AND f.hash =~ 'h[12]' RETURN count(*) AS n") == [(2,)]
     assert run("UNWIND [1, 2, 3] AS x WITH x WHERE x > 1 RETURN sum(x) AS s, avg(x) AS a") == [(5, 2.5)]
-    assert run("MATCH (t:Ticket) RETURN t.status AS s, CASE t.status WHEN 'open' THEN 1 ELSE 0 END AS o ORDER BY s NULL") if False else True
+    assert run("MATCH (t:Ticket) RETURN t.status AS s, CASE t.status WHEN 'open' THEN 1 ELSE 0 END AS o ORDER BY s") == [("done", 0), ("open", 1)]
     for bad in ("CREATE (n)", "MATCH (n) SET n.x = 1 RETURN n", "MATCH (n)", "MATCH (n RETURN n", "MATCH (n) RETURN nope(n)", "MATCH (n) RETURN $x", "MATCH (a)-[*1..9]->(b) RETURN a"):
         with pytest.raises(ValueError):
             store.exec_read(bad)
