@@ -54,3 +54,18 @@ def test_lm_scores_by_exact_counts(spark, monkeypatch):
     for r in lmscore.cross_entropy_difference(df, labels).collect():
         assert r["n_words"] == len(texts[r["doc_id"]].split())
         assert (r["target_loss"], r["background_loss"]) == pytest.approx(tuple(want[r["doc_id"]]), abs=2e-6)
+
+
+def test_long_secrets_are_permuted_in_full(spark):
+    from graphloom.llm.pii import pseudonymise
+
+    tail = "".join("abcXYZ789-_."[(i * i + i // 7) % 12] for i in range(1400))
+    texts = [f"token = {tail} end", f"token = {tail[:-1]}q end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = pseudonymise(df, "k")
+    got = [r["text"] for r in new.orderBy("doc_id").collect()]
+    for old, now in zip(texts, got):
+        assert len(now) == len(old) and now.startswith("token = ") and now.endswith(" end")
+        assert all(now[at : at + 40] != old[at : at + 40] for at in range(8, 1368, 40))
+    assert got[0][8:48] != got[1][8:48]  # one prefix does not show
+    assert [r["text"] for r in pseudonymise(new.drop("pseudonyms"), "k", inverse=True).orderBy("doc_id").collect()] == texts
