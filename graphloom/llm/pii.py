@@ -13,11 +13,15 @@ KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 SETTING = r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?)"
 SECRET = SETTING + r"[^\s\"',;]{6,}+"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+_SIZED = "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+#: A known country's length where the run has it; else the run up to where such a number begins.
+IBAN = rf"(?<![A-Za-z0-9])(?:{_SIZED}|[A-Z]{{2}}\d{{2}}(?:(?: (?!{_SIZED}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)"
 PHONE = r"(?<![\d+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\d-])"
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
+CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,}+"
 #: In order of precedence where several match at one place.
 FORMATS = {"email": EMAIL, "key": KEY_ID, "secret": SECRET, "ip": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "iban": IBAN}
 ANY = "|".join(FORMATS.values())
@@ -26,6 +30,9 @@ HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 
 DIGITS, UPPER, LOWER, HEX = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "abcdef"
 ROUNDS = 8
+#: Further permutations of a card number beside other digits, at most: one in ten or so needs any. A number that needed more
+#: would be hidden but not come back.
+WALK = 10_000
 #: The Gregorian calendar repeats every 146,097 days, which is 189 * 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
@@ -140,19 +147,65 @@ def _phone(m: Column, key: Column, inverse: bool) -> Column:
     return bind(F.substring(m, F.length(code) + 1, F.length(m)), rest)
 
 
-def _card(m: Column, key: Column, inverse: bool) -> Column:
-    """Luhn-valid numbers only: the issuer's first digit stays, the last is computed anew."""
+def _one_card(m: Column, key: Column, inverse: bool) -> Column:
+    """A Luhn-valid number: the issuer's first digit stays, the last is computed anew."""
 
     def of(d: Column) -> Column:
         body = F.transform(F.split(F.substring(d, F.lit(2), F.length(d) - 2), ""), lambda c: c.cast("int"))
         moved = bind(body, lambda v: F.array_join(feistel(v, F.transform(v, lambda _: F.lit(10)), key, inverse).cast("array<string>"), ""))
         front = F.concat(F.substring(d, 1, 1), moved)
-        new = bind(front, lambda f: F.concat(f, F.pmod(-_luhn(f, 0), F.lit(10)).cast("string")))
-        return F.when((_luhn(d, 1) % 10 == 0) & (d.rlike("[1-9]")), bind(new, lambda n: _into(m, n)))
+        return bind(front, lambda f: _into(m, F.concat(f, F.pmod(-_luhn(f, 0), F.lit(10)).cast("string"))))
 
     return bind(F.regexp_replace(m, r"\D", ""), of)
 
 
+def _cards(m: Column) -> Column:
+    """Where in a run of digits the Luhn-valid numbers stand, as structs of at and n: from the left, the longest of 13 to
+    19 digits that begins and ends at separators or the run's ends."""
+
+    def of(groups: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            ends = F.sequence(F.least(i + 18, F.size(groups)), i, F.lit(-1))
+            digits = lambda e: F.array_join(F.slice(groups, i, e - i + 1), "")
+            good = lambda e: bind(digits(e), lambda d: F.when(F.length(d).between(13, 19) & d.rlike("[1-9]"), _luhn(d, 1) % 10 == 0).otherwise(False))
+            n = F.length(F.element_at(groups, i))
+
+            def after(e: Column) -> Column:
+                size = F.length(F.array_join(F.slice(groups, i, e - i + 1), " "))
+                pick = F.struct(state["at"].alias("at"), size.alias("n"))
+                return F.struct((state["at"] + n + 1).alias("at"), (e + 1).alias("free"), F.concat(state["picks"], F.array(pick)).alias("picks"))
+
+            passed = F.struct((state["at"] + n + 1).alias("at"), state["free"].alias("free"), state["picks"].alias("picks"))
+            found = bind(F.get(F.filter(ends, good), F.lit(0)), lambda e: F.when(e.isNull(), passed).otherwise(after(e)))
+            return F.when(i < state["free"], passed).otherwise(found)
+
+        start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("free"), F.array().cast("array<struct<at:int,n:int>>").alias("picks"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)["picks"]
+
+    return bind(F.split(m, "[ -]"), of)
+
+
+def _card(m: Column, key: Column, inverse: bool) -> Column:
+    """The Luhn-valid numbers of a run, one after the other. Where permuted digits would make other groups of the run be
+    read as numbers, they are permuted again until they do not, so that the same numbers are found on the way back."""
+
+    def of(picks: Column) -> Column:
+        def moved(text: Column, p: Column) -> Column:
+            def tried(t: Column) -> Column:
+                new = F.overlay(t, _one_card(F.substring(t, p["at"], p["n"]), key, inverse), p["at"], p["n"])
+                return bind(new, lambda x: F.struct(x.alias("text"), (_cards(x) == picks).alias("done")))
+
+            def again(first: Column) -> Column:
+                walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda s, _: F.when(s["done"], s).otherwise(tried(s["text"])))
+                return F.when(first["done"], first["text"]).otherwise(walked["text"])
+
+            return bind(tried(text), again)
+
+        return F.when(F.size(picks) > 0, F.aggregate(F.reverse(picks) if inverse else picks, m, moved))
+
+    return bind(_cards(m), of)
+
+
 def _iban(m: Column, key: Column, inverse: bool) -> Column:
     """Numbers whose two check digits hold: the country stays, the account is permuted, the check digits computed anew."""
 

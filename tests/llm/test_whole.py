@@ -69,3 +69,30 @@ def test_long_secrets_are_permuted_in_full(spark):
         assert all(now[at : at + 40] != old[at : at + 40] for at in range(8, 1368, 40))
     assert got[0][8:48] != got[1][8:48]  # one prefix does not show
     assert [r["text"] for r in pseudonymise(new.drop("pseudonyms"), "k", inverse=True).orderBy("doc_id").collect()] == texts
+
+
+def test_cards_and_ibans_beside_other_words(spark):
+    from graphloom.llm.pii import pseudonymise
+
+    card, iban = "4111111111111111", "DE89370400440532013000"
+    beside = {
+        f"{card} 123": card,
+        "4111 1111 1111 1111 12": "4111 1111 1111 1111",
+        f"12 {card}": card,
+        f"{card} 5500000000000004": card,
+        f"7 {card} 12 34 5500-0000-0000-0004 99": "5500-0000-0000-0004",
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFF": "DE89 3704 0044 0532 0130 00",
+        f"{iban} OK": iban,
+        f"XX12 3456 7890 12 {iban} OK": iban,
+        "1234567890123456 " + "9" * 40: None,
+    }
+    texts = [*beside, *(f"{k} {card} {k}{k + 1}" for k in range(10, 40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = pseudonymise(df, "k")
+    got = [r["text"] for r in new.orderBy("doc_id").collect()]
+    for old, now in zip(texts, got):
+        value = beside.get(old, card)
+        assert len(now) == len(old) and (now == old if value is None else value not in now)
+    assert card not in got[3] and "5500000000000004" not in got[3] and card not in got[4]
+    assert got[6].endswith(" OK") and got[5].endswith(" BIC COBADEFF") and got[0].endswith(" 123")
+    assert [r["text"] for r in pseudonymise(new.drop("pseudonyms"), "k", inverse=True).orderBy("doc_id").collect()] == texts
