@@ -156,11 +156,16 @@ def _passes(a: str, b: str, num: int, den: int) -> Column:
     return length & positional & suffix
 
 
+def _place(doc_id: Column) -> Column:
+    """1 to FILTER_BITS: bitmap functions number places from 1, and put 0 in a bucket of its own before the first."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)) + 1
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b: prints) whose sets are alike enough. Sets are built again for the pairs' documents alone."""
     spark = docs.sparkSession
     asked = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    place = _place(F.col("doc_id"))
     bits = asked.join(classes, "print").select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in bits.collect():  # FILTER_BITS / 8 bytes at most
@@ -180,8 +185,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
                     sets = shingle_sets(texts, width)
                     yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["print", "grams"])
 
-    position = F.bitmap_bit_position(place) + (F.bitmap_bucket_number(place) - 1) * 32768
-    sets = docs.select("text", position.cast("long").alias("h")).mapInArrow(build, "print long, grams binary").dropDuplicates(["print"])
+    sets = docs.select("text", (place - 1).alias("h")).mapInArrow(build, "print long, grams binary").dropDuplicates(["print"])
 
     def alike(batches):
         import pyarrow as pa

@@ -96,3 +96,17 @@ def test_cards_and_ibans_beside_other_words(spark):
     assert card not in got[3] and "5500000000000004" not in got[3] and card not in got[4]
     assert got[6].endswith(" OK") and got[5].endswith(" BIC COBADEFF") and got[0].endswith(" 123")
     assert [r["text"] for r in pseudonymise(new.drop("pseudonyms"), "k", inverse=True).orderBy("doc_id").collect()] == texts
+
+
+def test_join_of_documents_on_the_filters_first_place(spark, monkeypatch):
+    from graphloom.llm import ngramjoin
+
+    monkeypatch.setattr(ngramjoin, "FILTER_BITS", 1 << 15)
+    hashed = spark.range(300_000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 15)).alias("h"))
+    first, last = ([r["id"] for r in hashed.where(f"h = {h}").orderBy("id").limit(2).collect()] for h in (0, (1 << 15) - 1))
+    words = [f"w{i}" for i in range(100)]
+    texts = {first[0]: " ".join(words), last[0]: " ".join(words[:-1]), first[1]: "one of its own that is like no other", last[1]: " ".join(["x", *words[1:]])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.join_classes(df).collect()}
+    linked = min(first[0], *last)
+    assert got == {first[0]: linked, last[0]: linked, last[1]: linked, first[1]: first[1]}
