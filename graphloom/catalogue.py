@@ -412,6 +412,11 @@ def slug(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query(r"SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '-', 'g'), '-') AS s FROM documents)", graph=False)
+def slug_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages", graph=False)
 def lexical_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(T.hrefs(F.col("html"))).alias("href"))

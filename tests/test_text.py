@@ -102,3 +102,12 @@ def test_similarity():
     assert S.wratio("", "x") == 0.0 and S.wratio("same", "same") == 100.0
     assert S.best_match("postgresql", ["mysql", "postgres"])[0] == "postgres"
     assert S.best_match("zzz", ["mysql"]) is None
+
+
+def test_slugs_of_whole_texts(spark):
+    from conftest import SF
+
+    from graphloom import catalogue
+
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", T.slug(F.col("text")).alias("s"))
+    assert sorted(map(tuple, catalogue.QUERIES["slug_whole"](spark, SF).collect()), key=repr) == sorted(map(tuple, texts.collect()), key=repr)
