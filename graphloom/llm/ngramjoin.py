@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -9,19 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm import sums
-from graphloom.llm.components import components
+from graphloom.llm.components import components, salted
 from graphloom.llm.tables import drop, written
 from graphloom.llm.text import batch_arrays, coded
 from graphloom.llm.tokens import forget
 
-#: Slots of the hashed document frequencies: 8 MB on each executor, whatever the corpus.
-SLOTS = 1 << 20
+#: Bits of the slots of hashed document frequencies: a slot for 1.5 KB of text, within these bounds; a byte each on executors.
+SLOT_BITS, SLOT_BYTES = (20, 24), 1536
 #: Bits of the filter that spares texts without candidates: 2 MB on each executor.
 FILTER_BITS = 1 << 24
 #: Text that a task turns into n-grams at a time.
 PART_BYTES = 4 << 20
-#: Parts of a frequent n-gram's rows.
-PARTS = 64
+#: Rows that one part of a frequent n-gram, a leader or a component has, of all that the corpus may give it.
+PART_ROWS = 20_000
+#: Pairs of one document from which on they are split.
+MANY_PAIRS = 1000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,27 +60,33 @@ def shingle_sets(texts, width: int) -> list[np.ndarray]:
     return out
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _code(counts):
+    """Counts in a byte each: eight steps for each doubling. Ranking by them is ranking by counts, in coarser classes."""
+    return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
 
 
 def _print(found: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(found.tobytes()), np.uint64).view(np.int64))
 
 
-def _described(df: DataFrame, width: int) -> DataFrame:
+def _described(df: DataFrame, width: int, bits: int) -> DataFrame:
     """Per document doc_id, n and print (of its set); and per task the hashed document frequencies, in chunks."""
 
     def scan(batches):
         import pyarrow as pa
 
         forget()
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
         for keys, texts in batch_arrays(batches, "doc_id", "text", part_bytes=PART_BYTES):
             sets = shingle_sets(texts, width)
             if sets:
-                counts += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
+                found, often = np.unique(_slot(np.concatenate(sets), bits), return_counts=True)
+                counts[found] += often.astype(np.uint32)
             m = len(sets)
             yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         got = list(sums.chunks(counts))
@@ -86,16 +96,16 @@ def _described(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(scan, "doc_id long, n long, print long, chunk int, counts binary")
 
 
-def _prefixes(df: DataFrame, width: int, num: int, den: int, counts, hot: int) -> DataFrame:
+def _prefixes(df: DataFrame, width: int, num: int, den: int, counts, bits: int, hot: float, parts_of: int) -> DataFrame:
     """The rarest n-grams of each document that any partner must share one of: gram, its rank pos, the set's print and
     n, and rest: how many later n-grams fall in each of eight hash classes, a byte each. part deals out n-grams whose
-    slot counts over `hot` documents, and is 0 for others. A task skips sets it has seen."""
+    slot counts over `hot` documents to `parts_of` parts, and is 0 for others. A task skips sets it has seen."""
 
     def scan(batches):
         import pyarrow as pa
 
         forget()
-        often, seen = counts.value, set()
+        often, seen, over = counts.value, set(), int(_code(np.array([hot]))[0]) if hot >= 0 else -1
         for (texts,) in batch_arrays(batches, "text", part_bytes=PART_BYTES):
             grams, pos, of, sizes, rest, parts = [], [], [], [], [], []
             for s in shingle_sets(texts, width):
@@ -104,7 +114,7 @@ def _prefixes(df: DataFrame, width: int, num: int, den: int, counts, hot: int) -
                     continue  # too few n-grams for a partner other than an equal set
                 seen.add(p)
                 k = n + (-num * n // den) + 1
-                order = s[np.argsort(often[_slot(s)], kind="stable")]
+                order = s[np.argsort(often[_slot(s, bits)], kind="stable")]
                 first = order[:k]
                 kinds = (order & np.uint64(7)).astype(np.int64)
                 upto = np.cumsum(kinds[:k, None] == np.arange(8), axis=0)
@@ -114,18 +124,18 @@ def _prefixes(df: DataFrame, width: int, num: int, den: int, counts, hot: int) -
                 of.append(np.full(k, p))
                 sizes.append(np.full(k, n))
                 rest.append(np.ascontiguousarray(after).view("<i8")[:, 0])
-                parts.append(np.where(often[_slot(first)] > hot, 1 + p % PARTS, 0))
+                parts.append(np.where(often[_slot(first, bits)].astype(np.int64) > over, 1 + p % parts_of, 0))
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((grams, pa.int64()), (parts, pa.int32()), (pos, pa.int32()), (of, pa.int64()), (sizes, pa.int32()), (rest, pa.int64()))], names=["gram", "part", "pos", "print", "n", "rest"])
 
     return df.select("text").mapInArrow(scan, "gram long, part int, pos int, print long, n int, rest long")
 
 
-def _held(rows: DataFrame) -> DataFrame:
+def _held(rows: DataFrame, parts: int) -> DataFrame:
     """The prefix rows whose n-gram several sets hold, each with lead, the row in which it stands first.
 
     The rows are exchanged once, by n-gram and part. A frequent n-gram's parts find their own leaders, and the least of
-    these, PARTS at most for each, is joined back: no task holds more than a part of a frequent n-gram's rows.
+    these, one for each part, is joined back: no task holds more than a part of a frequent n-gram's rows.
     """
     lead = F.min(F.struct("pos", "n", "print", "rest"))
     inside = Window.partitionBy("gram", "part")
@@ -133,7 +143,7 @@ def _held(rows: DataFrame) -> DataFrame:
     near = written(near.where("part > 0 OR _p <> _q"))
     few = near.where("part = 0").drop("part", "_p", "_q")
     whole = near.where("part > 0").groupBy("gram").agg(F.min("lead").alias("lead"), F.min("_p").alias("_p"), F.max("_q").alias("_q")).where("_p <> _q").drop("_p", "_q")
-    many = near.where("part > 0").drop("lead", "part", "_p", "_q").join(whole, "gram")
+    many = salted(near.where("part > 0").drop("lead", "part", "_p", "_q"), "gram", whole, "print", parts)
     held = written(few.unionByName(many).dropDuplicates(["gram", "print"]))
     drop(near)
     return held
@@ -200,9 +210,24 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
                 keep.append(den * shared >= num * (len(p) + len(q) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    first = sets.select(F.col("print").alias("a"), F.col("grams").alias("x"))
-    second = sets.select(F.col("print").alias("b"), F.col("grams").alias("y"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    grams = lambda key, name: sets.select(F.col("print").alias(key), F.col("grams").alias(name))
+    many = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).groupBy("print").count().where(F.col("count") > MANY_PAIRS)
+    many = written(many.select("print", (F.col("count") / MANY_PAIRS).cast("int").alias("parts")))
+    n = many.count()
+    if not n:
+        return pairs.select("a", "b").join(grams("a", "x"), "a").join(grams("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    # at most two for each MANY_PAIRS pairs
+    small = F.broadcast(many) if n <= 1_000_000 else many
+    side = lambda key: small.select(F.col("print").alias(key), F.col("parts").alias(f"_{key}"))
+    dealt = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    few = dealt.where("_a IS NULL AND _b IS NULL").select("a", "b").join(grams("a", "x"), "a").join(grams("b", "y"), "b")
+    # a document with many pairs goes to a part of them at a time; the other one's set is fetched first
+    hub = F.when(F.coalesce("_a", F.lit(0)) >= F.coalesce("_b", F.lit(0)), F.col("a")).otherwise(F.col("b"))
+    hubs = dealt.where("_a IS NOT NULL OR _b IS NOT NULL").select("a", "b", hub.alias("hub"), F.greatest("_a", "_b").alias("parts"))
+    hubs = hubs.withColumn("other", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))).withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int"))
+    split = sets.join(small, "print").select(F.col("print").alias("hub"), F.col("grams").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    wide = hubs.join(grams("other", "y"), "other").join(split, ["hub", "part"])
+    return few.select("a", "b", "x", "y").unionByName(wide.select("a", "b", "x", "y")).mapInArrow(alike, "a long, b long")
 
 
 def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, hot: int = 10_000) -> DataFrame:
@@ -211,24 +236,30 @@ def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, h
     that links lead to. Null, empty and blank texts have no shingles and link with nothing.
 
     1. Every set gets a print (64-bit hash), so that equal sets become one; n-grams are ranked rare first by document
-       frequencies counted in SLOTS hash slots over all documents. Any fixed ranking finds the same pairs.
+       frequencies counted over all documents in hash slots that grow with the text. Any fixed ranking finds the same pairs.
     2. Each set's prefix, its rarest n - ceil(num/den * n) + 1 n-grams, meets others' by n-gram. Pairs of each n-gram's
        leader (the set in which it stands first) and its other holders that pass the filters are verified, and joined
        into components.
     3. What can still change components are pairs from two of them. Holders of an n-gram outside its leader's
        component are paired with all holders in other components that pass the filters; new pairs are verified.
-    Any pair alike enough is met at the first prefix n-gram it shares, so no link that could join components is lost,
+    What many documents share, an n-gram, a leader, a component, is joined in parts of its rows. In step 3 partners are
+    looked for among sets of like size only. Any pair alike enough is met at the first prefix n-gram it shares, so no link that could join components is lost,
     while the pairs inside a large group of near copies are never listed. Repeated rows share a set, and each gets its row.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = df.sparkSession
-    scanned = written(_described(docs, width))
+    low, high = SLOT_BITS
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(high, max(low, (size // SLOT_BYTES).bit_length()))
+    scanned = written(_described(docs, width, bits))
     rows = scanned.where("chunk IS NULL").select("doc_id", "n", "print")
-    counts = sums.gather(scanned.where("chunk IS NOT NULL").select("chunk", "counts"), SLOTS)
-    classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"))
+    counts = sums.gather(scanned.where("chunk IS NOT NULL").select("chunk", "counts"), 1 << bits, _code, np.uint8)
+    classes = written(rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id")))
+    total, sets = rows.agg(F.sum("n"), F.count(F.lit(1))).first()
+    parts = max(64, sets // PART_ROWS)
     # a slot holds several n-grams: those far above the mean hold a frequent one
-    limit = hot + 4 * int(counts.mean())
-    held = _held(_prefixes(docs, width, num, den, spark.sparkContext.broadcast(counts), limit))
+    limit = hot + 4 * ((total or 0) >> bits)
+    held = _held(_prefixes(docs, width, num, den, spark.sparkContext.broadcast(counts), bits, limit, parts), parts)
 
     ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     led = held.alias("x").where(F.col("x.print") != F.col("x.lead.print")).withColumn("y", F.col("x.lead"))
@@ -238,11 +269,12 @@ def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, h
     roots = written(components(links))
     part = held.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     lead_roots = roots.select(F.col("node").alias("_lp"), F.col("root").alias("_lr"))
-    part = part.withColumn("_lp", F.col("lead.print")).join(lead_roots, "_lp", "left").withColumn("outside", F.col("root") != F.coalesce("_lr", "_lp"))
-    part = written(part.select("gram", "pos", "print", "n", "rest", "root", "outside"))
+    part = salted(part.withColumn("_lp", F.col("lead.print")), "_lp", lead_roots, "print", parts, "left").withColumn("outside", F.col("root") != F.coalesce("_lr", "_lp"))
+    part = written(part.select("gram", "pos", "print", "n", "rest", "root", "outside", F.floor(F.log(F.col("n")) / (log(den / num) * (1 + 1e-9))).cast("int").alias("size") if num < den else F.col("n").alias("size")))
     drop(held)
-    outer = part.where("outside")
-    met = outer.alias("x").join(part.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _passes("x", "y", num, den))
+    # partners' sizes lie in the same class or one beside it
+    outer = part.where("outside").withColumn("at", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)))
+    met = outer.alias("x").join(part.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.at") == F.col("y.size")) & (F.col("x.root") != F.col("y.root")) & _passes("x", "y", num, den))
     more = written(ordered(met, F.col("x.print"), F.col("y.print")).join(tried, ["a", "b"], "left_anti"))
     drop(part)
     drop(tried)
@@ -251,17 +283,22 @@ def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, h
     roots = components(links)
     tops = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = tops.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_sets"))
-    named = tops.select("print", "root").join(least, "root").select("print", "component_id", (F.col("_sets") > 1).alias("linked"))
-    out = rows.where("n > 0").join(named, "print").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "linked")
+    named = salted(tops.select("print", "root"), "root", least, "print", parts).select("print", "component_id", (F.col("_sets") > 1).alias("linked"))
+    out = salted(rows.where("n > 0"), "print", named, "doc_id", parts).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "linked")
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(False).alias("linked")))
 
 
 def one_of_each(df: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """df (doc_id, text, ...) with one document of each component of join_classes(): the one with the least doc_id.
 
-    doc_id names a document: of several rows with one doc_id, one stays. Rows without a doc_id all stay, as nothing
-    names them.
+    doc_id names a document: of several rows with one doc_id the one with the least text stays (nulls first), by a hash of
+    its columns among equal texts. Rows without a doc_id all stay, as nothing names them. Columns of df stay, whatever
+    their names; an empty table gives no rows.
     """
-    kept = join_classes(df.where("doc_id IS NOT NULL"), width, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    named = df.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(df.columns).unionByName(df.where("doc_id IS NULL"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    classes = join_classes(df.where("doc_id IS NOT NULL"), width, num, den).where("doc_id = component_id")
+    kept = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    named = rows.join(kept, "doc_id")
+    told = [F.col("row").getField(c) for c, kind in df.dtypes if kind.split("<")[0] not in ("map", "variant")]
+    least = named.where("n > 1").groupBy("doc_id").agg(F.min_by("row", F.struct("text", F.xxhash64(*told))).alias("row"))
+    return named.where("n = 1").select("row.*").unionByName(least.select("row.*")).unionByName(df.where("doc_id IS NULL"))

@@ -19,8 +19,9 @@ def chunks(counts: np.ndarray):
             yield k // CHUNK, zlib.compress(part.astype("<u4").tobytes(), 1)
 
 
-def gather(rows: DataFrame, length: int) -> np.ndarray:
-    """The sum of all tasks' arrays. rows: chunk and counts; chunks are summed apart, and `length` numbers reach the driver."""
+def gather(rows: DataFrame, length: int, code=None, kind=np.int64) -> np.ndarray:
+    """The sum of all tasks' arrays. rows: chunk and counts; chunks are summed apart, and `length` numbers reach the driver,
+    of type `kind` and encoded by `code` where it is given."""
 
     def add(batches):
         import pyarrow as pa
@@ -33,11 +34,11 @@ def gather(rows: DataFrame, length: int) -> np.ndarray:
                     sums[k] += part
                 else:
                     sums[k] = part.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(code(x) if code else x).tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-    out = np.zeros(-(-length // CHUNK) * CHUNK, np.int64)
+    out = np.zeros(-(-length // CHUNK) * CHUNK, kind)
     n = -(-length // CHUNK)
     for row in rows.repartition(min(n, 64), "chunk").mapInArrow(add, SCHEMA).collect():
-        part = np.frombuffer(bytes(row["counts"]), np.int64)
+        part = np.frombuffer(bytes(row["counts"]), kind)
         out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
     return out[:length]

@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder; a temporary one only where none is set, as in tests."""
     found = spark.conf.get(KEY, None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         spark.conf.set(KEY, found)
@@ -54,5 +54,13 @@ def drop(df: DataFrame) -> None:
     _drop(df.sparkSession, df._graphloom_path)
 
 
+def spread(df: DataFrame, small: int = 48 << 20) -> DataFrame:
+    """df dealt to all cores where its files are so small that one may hold all rows: a plan's choice, not a result's.
+
+    Larger tables come in many row groups and stay where they are read."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) <= small else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
