@@ -34,7 +34,7 @@ def told_apart(forms: DataFrame, keys: DataFrame, few: int = 2_000_000, part_row
     """Rows of forms (row, form, digest) whose bytes differ from those of the least row with the same digest: row, tag.
 
     keys has digest and row of the same rows. Texts whose digest occurs once stay where they are: while at most `few`
-    digests repeat, their 64-bit hashes are broadcast (16 MB a million), and else joined. The others are exchanged once, by
+    digests repeat, their 64-bit hashes are broadcast (16 MB a million), and else joined. The others are written, and exchanged once, by
     digest and part of some `part_rows` rows, and held against the text of their digest's least row, which each part gets:
     as many comparisons as rows, and no task with more than a few parts.
     """
@@ -44,7 +44,7 @@ def told_apart(forms: DataFrame, keys: DataFrame, few: int = 2_000_000, part_row
     large = groups.where("parts > 1").select("digest", "parts")
     hashes = lambda *c: groups.select(F.xxhash64(*c).alias("h")).distinct()
     if groups.count() <= few:
-        members = forms.join(F.broadcast(hashes("digest")), F.xxhash64("digest") == F.col("h"), "left_semi")
+        members = written(forms.join(F.broadcast(hashes("digest")), F.xxhash64("digest") == F.col("h"), "left_semi"))
         heads = members.join(F.broadcast(hashes("digest", "first")), F.xxhash64("digest", "row") == F.col("h"), "left_semi")
     else:
         members = forms.join(groups.select("digest"), "digest", "left_semi")
