@@ -398,37 +398,45 @@ def reconcile_missing(spark, sf_dir):
     return changes.missing(now, was)
 
 
-@query("SELECT 'conv/' || conv_id || '#' || turn AS id FROM conversations WHERE turn >= 5", graph=False)
+@query("SELECT 'conv/' || conv_id || '#' || turn AS id FROM conversations WHERE turn >= 5 AND conv_id % 3 <> 0", graph=False)
 def gc_sections(spark, sf_dir):
-    have = load(spark, sf_dir).nodes("Section").select("id", "ordinal")
-    return have.select("id").join(have.where("ordinal < 5").select("id"), "id", "left_anti")
+    have = load(spark, sf_dir).nodes("Section")
+    files = table(spark, sf_dir, "conversations").where("conv_id % 3 <> 0").select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path")).distinct()
+    return pipeline.stale_sections(have, files, have.where("ordinal < 5")).select("id")
 
 
-# text
+@query("SELECT 'conv/' || conv_id || '#' || turn AS id, CASE WHEN turn % 5 = 2 THEN 'added' ELSE 'changed' END AS action FROM conversations WHERE (turn % 5 = 2 OR turn % 4 = 1 AND upper(text) <> text) AND turn < 9", graph=False)
+def incremental_sections(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("id", F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("#"), F.col("turn").cast("string")))
+    was = rows.where("turn % 5 <> 2").select("id", T.section_hash(F.col("role"), F.col("text")).alias("hash"))
+    now = rows.where("turn < 9").select("id", T.section_hash(F.col("role"), F.when(F.col("turn") % 4 == 1, F.upper("text")).otherwise(F.col("text"))).alias("hash"))
+    return pipeline.due_sections(was, now)
 
 
-@query(r"SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '-', 'g'), '-') AS s FROM documents)", graph=False)
-def slug(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+# text
 
 
 @query(r"SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '-', 'g'), '-') AS s FROM documents)", graph=False)
-def slug_whole(spark, sf_dir):
+def slug(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages", graph=False)
+@query("SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"# ()]*)\"', 1))) AS target FROM pages", graph=False)
 def lexical_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(T.hrefs(F.col("html"))).alias("href"))
+    page = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".md"))
+    linked = F.regexp_replace("html", 'href="([^"]*)"', "[a]($1)")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(T.references(linked, page, F.lit(".md"))).alias("r"))
+    return rows.where("r.rule = 'md-link' AND r.target_type = 'File'").select("page_id", "r.target_name").withColumnRenamed("target_name", "target")
 
 
-@query(r"SELECT doc_id, '§' || unnest(regexp_extract_all('§ ' || regexp_replace(text, '[^0-9.]+', ' § ', 'g'), '§\s*(\d+(?:\.\d+)+)', 1)) AS target FROM documents", graph=False)
+@query(r"SELECT doc_id, '§' || unnest(list_distinct(regexp_extract_all('§ ' || regexp_replace(text, '[^0-9.]+', ' § ', 'g'), '§\s*(\d+(?:\.\d+)+)', 1))) AS target FROM documents", graph=False)
 def section_refs(spark, sf_dir):
     marked = F.concat(F.lit("§ "), F.regexp_replace("text", "[^0-9.]+", " § "))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(F.regexp_extract_all(marked, F.lit(r"§\s*(\d+(?:\.\d+)+)"), F.lit(1)), lambda x: F.concat(F.lit("§"), x))).alias("target"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.references(marked, F.lit("d.md"), F.lit(".md"))).alias("r"))
+    return rows.where("r.rule = 'md-anchor'").select("doc_id", "r.target_name").withColumnRenamed("target_name", "target")
 
 
-@query(r"SELECT doc_id, unnest(regexp_extract_all(left(text, 200000), '(mail\d)\.example', 1)) AS target FROM documents", graph=False)
+@query(r"SELECT doc_id, unnest(regexp_extract_all(text, '(mail\d)\.example', 1)) AS target FROM documents", graph=False)
 def custom_patterns(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.custom_references(F.col("text"), r"(mail\d)\.example", 1)).alias("target"))
 
@@ -504,11 +512,21 @@ def structural_edges(spark, sf_dir):
     return pipeline.structural_edges(parts).select("src_label", "src_pk", "edge_type", "dst_pk")
 
 
-@query("SELECT id FROM sections WHERE id NOT IN (SELECT dst_pk FROM edges WHERE edge_type = 'NEXT_SIBLING' AND dst_label = 'Section')")
+def _family(spark, sf_dir):
+    """The conversations' turns as sections: what is not said by the user lies under the first turn."""
+    path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"))
+    parts = table(spark, sf_dir, "conversations").select(path.alias("path"), F.concat(path, F.lit("#"), F.col("turn").cast("string")).alias("id"), F.when((F.col("role") != "user") & (F.col("turn") > 0), "0").alias("parent_anchor"), F.col("turn").alias("pos"))
+    return GraphStore(spark, {"Section": parts.select("id", "path")}, pipeline.structural_edges(parts))
+
+
+@query("SELECT 'conv/' || conv_id || '#' || turn AS id FROM conversations WHERE role = 'user' OR turn = 0", graph=False)
 def top_level_sections(spark, sf_dir):
-    store = load(spark, sf_dir)
-    renamed = GraphStore(spark, {"Section": store.nodes("Section")}, store.edges("NEXT_SIBLING").withColumn("edge_type", F.lit("PARENT_OF")).select(*EDGE.fieldNames()))
-    return pipeline.top_level(renamed).select("id")
+    return pipeline.top_level(_family(spark, sf_dir)).select("id")
+
+
+@query("SELECT 'conv/' || conv_id || '#' || turn AS id FROM conversations c WHERE turn > 0 OR NOT EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.role <> 'user' AND o.turn > 0)", graph=False)
+def leaf_sections(spark, sf_dir):
+    return pipeline.leaves(_family(spark, sf_dir)).select("id")
 
 
 @query("SELECT 'conv/' || conv_id AS pk, md5(chr(0) || string_agg(text, chr(0) ORDER BY turn)) AS input_hash, count(*)::INT AS n FROM conversations GROUP BY conv_id", graph=False)

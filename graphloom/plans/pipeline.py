@@ -170,7 +170,7 @@ def relate(store: GraphStore, units: DataFrame, ontology: Ontology, inferred: Da
     target_name, confidence and reason (as JSON texts) from a model. Targets that resolve to a File or Section make an
     edge; other targets become nodes. Units get a marker, also those without edges. Returns all rows with drop_reason.
     """
-    found = units.select(F.col("label").alias("src_label"), F.col("pk").alias("src_pk"), "path", F.posexplode(T.references("text", "path", "suffix")).alias("pos", "r")).select("src_label", "src_pk", "pos", "r.*")
+    found = units.select(F.col("label").alias("src_label"), F.col("pk").alias("src_pk"), "path", F.posexplode(T.references(F.col("text"), F.col("path"), F.col("suffix"))).alias("pos", "r")).select("src_label", "src_pk", "pos", "r.*")
     rows = found.select("src_label", "src_pk", "edge_type", "target_type", "target_name", F.lit(1.0).alias("confidence"), F.concat(F.lit("lexical:"), "rule").alias("reason"), F.lit("lexical").alias("method"), "pos")
     if inferred is not None:
         model = inferred.select("src_label", "src_pk", "edge_type", "target_type", "target_name", resolve.confidence(F.col("confidence")).alias("confidence"), resolve.reason(F.col("reason")).alias("reason"), F.lit("llm").alias("method"), F.col("pos"))
@@ -198,6 +198,16 @@ def relate(store: GraphStore, units: DataFrame, ontology: Ontology, inferred: Da
 # differences
 
 
+def stale_sections(stored: DataFrame, files: DataFrame, parts: DataFrame) -> DataFrame:
+    """Stored sections (id, path) of files (path) that their new sections, parts (id), no longer have."""
+    return stored.join(files.select("path"), "path", "left_semi").join(parts.select("id"), "id", "left_anti")
+
+
+def due_sections(stored: DataFrame, parts: DataFrame) -> DataFrame:
+    """id and action, added or changed, of the sections in parts (id, hash) that are new or whose hash is another than stored."""
+    return triage(stored.join(parts.select("id"), "id", "left_semi"), parts, "id", "hash").where("action IN ('added', 'changed')")
+
+
 def triage(stored: DataFrame, current: DataFrame, key: str, digest: str) -> DataFrame:
     """key and action of every unit in either: added, changed, removed or unchanged; a unit without a digest is changed."""
     both = stored.select(key, F.col(digest).alias("_was"), F.lit(True).alias("_s")).join(current.select(key, F.col(digest).alias("_is"), F.lit(True).alias("_c")), key, "full_outer")
@@ -245,8 +255,14 @@ class Indexer:
         units = whole
         if split:
             parts = parse_sections(marked, c.heading_min_level, c.heading_max_level).checkpoint()
-            store.upsert_nodes("Section", embedded(parts, "body", self.provider).withColumn("updated", F.current_timestamp()))
-            stale = store.nodes("Section").join(marked.select("path"), "path", "left_semi").join(parts.select("id"), "id", "left_anti")
+            # a section whose text changed loses its summary, its marker and the edges inferred from it; others keep theirs
+            due = due_sections(store.nodes("Section"), parts).checkpoint()
+            store.clear_units(due.where("action = 'changed'").select(F.lit("Section").alias("label"), F.col("id").alias("pk")))
+            placed = parts.select("id", "file_id", "path", "corpus", "title", "level", "anchor", "ordinal", "parent_anchor", "hash")
+            new = embedded(parts.join(due.select("id"), "id", "left_semi"), "body", self.provider).select("id", "embedding").withColumn("updated", F.current_timestamp())
+            store.upsert_nodes("Section", placed)
+            store.upsert_nodes("Section", new)
+            stale = stale_sections(store.nodes("Section"), marked, parts)
             store.detach_delete(stale.select(F.lit("Section").alias("label"), F.col("id").alias("pk")))
             store.settle("Section")
             store.upsert_edges(structural_edges(parts))
@@ -257,7 +273,7 @@ class Indexer:
             roll_up(store, parts.select("id", "body"), self.provider)
             derive_files(store, self.provider)
             store.settle("File", "Section")
-            units = units.unionByName(self._units(marked, parts))
+            units = units.unionByName(self._units(marked, parts.join(due.select("id"), "id", "left_semi")))
         relate(store, units, self.ontology)
         store.settle()
         for label in sorted(MINTABLE & set(store._nodes) - {"Risk"}):

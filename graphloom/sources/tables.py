@@ -29,7 +29,7 @@ WITH files AS (
 ), followed AS (
   SELECT o_orderkey AS a, o_orderstatus AS sa, lag(o_orderkey) OVER w AS b, lag(o_orderstatus) OVER w AS sb FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 ), copies AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, a.source AS sa, b.source AS sb FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id
+  SELECT first.doc_id AS a, d.doc_id AS b, first.source AS sa, d.source AS sb FROM documents d JOIN (SELECT md5(text) AS h, min({'doc_id': doc_id, 'source': source}) AS first FROM documents GROUP BY 1) ON h = md5(d.text) AND first.doc_id < d.doc_id
 ), edges AS (
   SELECT 'File' AS src_label, 'conv/' || conv_id AS src_pk, 'CONTAINS' AS edge_type, 'Section' AS dst_label, 'conv/' || conv_id || '#' || turn AS dst_pk, 'structural' AS origin, NULL::DOUBLE AS confidence, NULL AS reason FROM conversations
   UNION ALL SELECT 'Section', 'conv/' || conv_id || '#' || p, 'NEXT_SIBLING', 'Section', 'conv/' || conv_id || '#' || turn, 'structural', NULL, NULL FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE p IS NOT NULL
@@ -72,7 +72,9 @@ def load(spark: SparkSession, sf_dir: str) -> GraphStore:
     before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     followed = orders.select("o_orderkey", "o_orderstatus", F.lag("o_orderkey").over(before).alias("b"), F.lag("o_orderstatus").over(before).alias("sb")).where("b IS NOT NULL")
     hashed = docs.select("doc_id", "source", F.md5("text").alias("h"))
-    copies = hashed.alias("x").join(hashed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.source").alias("sa"), F.col("y.source").alias("sb"))
+    # each copy is linked with its group's first alone: as many edges as copies
+    first = hashed.groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("first"))
+    copies = hashed.join(first, "h").where("first.doc_id < doc_id").select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("first.source").alias("sa"), F.col("source").alias("sb"))
     order, earlier = ("Ticket", key("order/", "o_orderkey")), ("Ticket", key("order/", "b"))
     turns = talk.withColumn("p", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).where("p IS NOT NULL")
     every = [

@@ -53,6 +53,31 @@ def test_bootstrap_and_increment(spark, notes):
     assert job.increment() == pipeline.Result(1, 1, 2)
 
 
+def test_edited_sections_are_indexed_anew(spark, notes):
+    config = corpus.CorpusConfig("n", str(notes), granularity="section")
+
+    class Provider(pipeline.Offline):
+        def summarise(self, texts):
+            return [" ".join(t.split()) for t in texts]
+
+    store = GraphStore(spark)
+    pipeline.Indexer(store, config, Provider()).bootstrap()
+    store.save(str(notes / "../kept"))
+    before = {r["id"].split("#")[-1]: r for r in store.nodes("Section").collect()}
+    store = GraphStore.load(spark, str(notes / "../kept"), ["File", "Section", "Corpus"])
+    (notes / "a.md").write_text((notes / "a.md").read_text().replace("more", "edited [n](n.lua)"))
+    assert pipeline.Indexer(store, config, Provider()).increment().indexed == 1
+    after = {r["id"].split("#")[-1]: r for r in store.nodes("Section").collect()}
+    assert "edited" in after["deep"]["summary"] and "more" in before["deep"]["summary"] and "more" not in after["deep"]["summary"]
+    assert after["two"]["summary"] == before["two"]["summary"] and after["two"]["inferred_at"] == before["two"]["inferred_at"]
+    assert "edited" in after["one"]["summary"] and "more" in before["one"]["summary"]  # rolled up from its child
+    assert after["deep"]["inferred_at"] > before["deep"]["inferred_at"]
+    files = {r["path"].split("/")[-1]: r["summary"] for r in store.nodes("File").collect()}
+    assert "edited" in files["a.md"] and "more" not in files["a.md"]
+    edges = {(r["src_pk"].split("/")[-1], r["edge_type"], r["dst_pk"].split("/")[-1]) for r in store.edges().collect()}
+    assert {("a.md#one", "REFERENCES", "b.md"), ("a.md#deep", "REFERENCES", "n.lua")} <= edges
+
+
 def test_logs_and_checkpoint(spark, tmp_path):
     rows = spark.createDataFrame([("p", "m", "s", 1, 2, "2024-05-01T00:00:00"), ("p", "m", "s", 10, 20, "2024-05-02T00:00:00")], corpus.USAGE)
     corpus.log_usage(rows, str(tmp_path / "usage"))

@@ -65,9 +65,14 @@ def test_columns(spark):
         T.word_chunks(F.col("w"), 4, 4)
 
 
-def test_references():
+def referred(spark, text, path, suffix, scan=None):
+    row = spark.createDataFrame([(text, path, suffix)], "t string, p string, s string")
+    return [tuple(r) for r in row.select(T.references(F.col("t"), F.col("p"), F.col("s"), scan)).first()[0]]
+
+
+def test_references(spark):
     text = "[a](b.md) [s](c.md#x) [t](#here) [e](#) [w](https://x.test/q.md) see §1.2 and d.lua, b.md, self.md"
-    assert T.markdown_references(text, "/r/self.md") == [
+    assert referred(spark, text, "/r/self.md", ".md") == [
         ("REFERENCES", "File", "/r/b.md", "md-link"),
         ("REFERENCES", "Section", "/r/c.md#x", "md-link"),
         ("REFERENCES", "Section", "/r/self.md#here", "md-link"),
@@ -75,6 +80,14 @@ def test_references():
         ("REFERENCES", "File", "x.test/q.md", "md-basename"),
         ("REFERENCES", "File", "d.lua", "md-basename"),
     ]
+    assert referred(spark, text, "/r/self.md", ".md", 9) == [("REFERENCES", "File", "/r/b.md", "md-link")]
+    code = "require('x.y') require(\"z.lua\") dofile('w.lua') require('x.y')"
+    assert [r[2:] for r in referred(spark, code, "m.lua", ".lua")] == [("x/y.lua", "lua-require"), ("z.lua", "lua-require"), ("w.lua", "lua-dofile")]
+    assert referred(spark, text, "a.txt", ".txt") == referred(spark, None, "a.md", ".md") == []
+    paths = {("/r/s", "../b.md"): "/r/b.md", ("/r", "../../x.md"): "/x.md", ("r", "../../x.md"): "../x.md", ("/r", "./a/./b.md"): "/r/a/b.md", ("/r", "/abs.md"): "/abs.md", ("/r", "C:\\d\\e.md"): "C:/d/e.md", ("", "q\\e.md"): "q/e.md", ("r", ".."): "."}
+    df = spark.createDataFrame([(a, b, c) for (a, b), c in paths.items()], "a string, b string, c string")
+    assert all(r[0] == r[1] for r in df.select(T.resolved_path(F.col("a"), F.col("b")), "c").collect())
+    assert len(referred(spark, "a." * 300_000 + "md [x](y.md)", "p.md", ".md")) == 2  # a long run takes no long time
 
 
 def test_json_and_templates():
@@ -110,4 +123,4 @@ def test_slugs_of_whole_texts(spark):
     from graphloom import catalogue
 
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", T.slug(F.col("text")).alias("s"))
-    assert sorted(map(tuple, catalogue.QUERIES["slug_whole"](spark, SF).collect()), key=repr) == sorted(map(tuple, texts.collect()), key=repr)
+    assert sorted(map(tuple, catalogue.QUERIES["slug"](spark, SF).collect()), key=repr) == sorted(map(tuple, texts.collect()), key=repr)
