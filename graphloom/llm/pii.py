@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from graphloom.llm.text import bind
 
 # Patterns of the formats, each standing alone between characters that could continue it.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+"
+# Every repeated group is possessive or has a greatest count: the engine walks those in a loop, and would recurse otherwise.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-SETTING = r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?)"
+SETTING = r"(?<![A-Za-z])(?=[PpSsTtAa])(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?)"
 SECRET = SETTING + r"[^\s\"',;]{6,}+"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 #: Countries by the length of their IBANs.
 IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
 _SIZED = "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
 #: A known country's length where the run has it; else the run up to where such a number begins.
-IBAN = rf"(?<![A-Za-z0-9])(?:{_SIZED}|[A-Z]{{2}}\d{{2}}(?:(?: (?!{_SIZED}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d\d)(?:{_SIZED}|[A-Z]{{2}}\d{{2}}(?:(?: (?!{_SIZED}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)"
 PHONE = r"(?<![\d+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\d-])"
@@ -30,6 +31,10 @@ HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 
 DIGITS, UPPER, LOWER, HEX = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "abcdef"
 ROUNDS = 8
+#: Signs that are permuted together; longer values are permuted in blocks of so many.
+BLOCK = 4096
+#: Stands around the values of a text while it is taken apart.
+MARK = "\x01"
 #: Further permutations of a card number beside other digits, at most: one in ten or so needs any. A number that needed more
 #: would be hidden but not come back.
 WALK = 10_000
@@ -40,45 +45,64 @@ FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 def feistel(values: Column, sizes: Column, key: Column, inverse: bool = False) -> Column:
     """A keyed permutation of the arrays whose i-th number lies in 0 to sizes[i] - 1.
 
-    In each round one half is shifted, number by number, by hashes of the key, the round and the other half; a shift
-    modulo each size can be taken back, so different arrays stay different. Arrays need two numbers at least.
+    In each round one half is shifted, number by number, by 32 bits each of hashes of the key, the round and the other
+    half; a shift modulo each size can be taken back, so different arrays stay different. Arrays need two numbers at least.
     """
     half = F.floor((F.size(values) + 1) / 2).cast("int")
+    return bind(values.cast("array<bigint>"), lambda v: bind(sizes, lambda z: bind(half, lambda h: _rounds(v, z, h, key, inverse))))
+
+
+def _rounds(values: Column, sizes: Column, half: Column, key: Column, inverse: bool) -> Column:
+    numbers = F.sequence(F.lit(0), F.floor(F.size(values) / 16))
 
     def one(state: Column, r: Column) -> Column:
         first = r % 2 == 0  # shift the first half by the second, then the other way round
         other = F.when(first, F.slice(state, half + 1, F.greatest(F.size(state) - half, F.lit(0)))).otherwise(F.slice(state, F.lit(1), half))
         seed = F.sha2(F.concat_ws("|", key, r.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
+        hashes = bind(seed, lambda s: F.transform(numbers, lambda b: F.sha2(F.concat_ws("|", s, b.cast("string")), 512)))
 
-        def shifted(seed: Column) -> Column:
+        def shifted(found: Column) -> Column:
             def step(x: Column, i: Column) -> Column:
-                by = F.conv(F.substring(F.sha2(F.concat_ws("|", seed, i.cast("string")), 256), 1, 12), 16, 10).cast("long")
-                moved = F.pmod(x - by if inverse else x + by, F.element_at(sizes, i + 1))
-                return F.when((i < half) == first, moved).otherwise(x)
+                bits = F.substring(F.element_at(found, F.floor(i / 16).cast("int") + 1), 8 * (i % 16) + 1, F.lit(8))
+                by = F.conv(bits, 16, 10).cast("long")
+                return F.when((i < half) == first, F.pmod(x - by if inverse else x + by, F.element_at(sizes, i + 1))).otherwise(x)
 
             return F.transform(state, step)
 
-        return bind(seed, shifted)
+        return bind(hashes, shifted)
 
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(rounds, values.cast("array<bigint>"), one)
+    return F.aggregate(rounds, values, one)
 
 
 def _signs(text: Column, key: Column, inverse: bool, hex_only: bool | Column = False) -> Column:
-    """text with digits, capital and small ASCII letters permuted each within their kind; other signs stay."""
+    """text with digits, capital and small ASCII letters permuted each within their kind; other signs stay.
+
+    A text of over BLOCK signs is permuted block by block, each under its place and the text's length.
+    """
     letters = F.when(F.lit(hex_only) if isinstance(hex_only, bool) else hex_only, F.lit(HEX)).otherwise(F.lit(LOWER))
 
-    def of(signs: Column) -> Column:
+    def of(signs: Column, key: Column = key) -> Column:
         sets = F.transform(signs, lambda c: F.when(c.between("0", "9"), F.lit(DIGITS)).when(c.between("A", "Z"), F.lit(UPPER)).when(c.between("a", "z"), letters).otherwise(c))
         return bind(sets, lambda s: bind(feistel(F.zip_with(signs, s, lambda c, a: F.instr(a, c) - 1), F.transform(s, F.length), key, inverse), lambda v: F.array_join(F.zip_with(v, s, lambda x, a: F.substring(a, (x + 1).cast("int"), F.lit(1))), "")))
 
-    return bind(F.split(text, ""), of)
+    part = lambda x, b: bind(F.split(x, ""), lambda signs: of(signs, F.concat_ws("|", key, b.cast("string"), F.length(text).cast("string"))))
+    blocks = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), part)
+    return F.when(F.length(text) > BLOCK, F.array_join(blocks, "")).otherwise(bind(F.split(text, ""), of))
 
 
 def _into(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced, in order, by those of the string digits."""
-    parts = bind(F.split(shape, ""), lambda s: F.aggregate(s, F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), lambda a, c: F.when(c.between("0", "9"), F.struct(F.concat(a["out"], F.substring(digits, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n")))))
-    return parts["out"]
+
+    def filled(d: Column) -> Column:
+        def step(a: Column, c: Column) -> Column:
+            number = c.between("0", "9")
+            sign = F.when(number, F.substring(d, a["n"] + 1, F.lit(1))).otherwise(c)
+            return F.struct(F.concat(a["out"], sign).alias("out"), (a["n"] + number.cast("int")).alias("n"))
+
+        return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step)["out"]
+
+    return bind(digits, filled)
 
 
 def _luhn(digits: Column, times_two_at: int) -> Column:
@@ -93,7 +117,15 @@ def _mod97(text: Column) -> Column:
 
 
 def _email(m: Column, key: Column, inverse: bool) -> Column:
-    return bind(F.instr(m, "@"), lambda at: F.concat(_signs(F.substring(m, F.lit(1), at - 1), key, inverse), F.substring(m, at, F.length(m))))
+    """The name, and apart from it the domain but for its last label: equal domains stay equal under different names."""
+
+    def of(at: Column) -> Column:
+        domain = F.substring(m, at + 1, F.length(m))
+        last = F.length(F.substring_index(domain, ".", -1)) + 1  # with its dot
+        hidden = _signs(F.substring(domain, F.lit(1), F.length(domain) - last), F.concat(key, F.lit("|domain")), inverse)
+        return F.concat(_signs(F.substring(m, F.lit(1), at - 1), key, inverse), F.lit("@"), hidden, F.substring(m, F.length(m) - last + 1, last))
+
+    return bind(F.instr(m, "@"), of)
 
 
 def _secret(m: Column, key: Column, inverse: bool) -> Column:
@@ -190,10 +222,16 @@ def _card(m: Column, key: Column, inverse: bool) -> Column:
     read as numbers, they are permuted again until they do not, so that the same numbers are found on the way back."""
 
     def of(picks: Column) -> Column:
-        def moved(text: Column, p: Column) -> Column:
+        def moved(text: Column, i: Column) -> Column:
+            p = F.element_at(picks, i)
+            # no group of 19 digits that touches this number reaches past the number before the last, or 40 signs on
+            start = F.when(i > 2, F.get(picks, i - 3)["at"] + F.get(picks, i - 3)["n"] + 1).otherwise(F.lit(1))
+            known = F.transform(F.slice(picks, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), lambda q: F.struct((q["at"] - start + 1).alias("at"), q["n"].alias("n")))
+
             def tried(t: Column) -> Column:
                 new = F.overlay(t, _one_card(F.substring(t, p["at"], p["n"]), key, inverse), p["at"], p["n"])
-                return bind(new, lambda x: F.struct(x.alias("text"), (_cards(x) == picks).alias("done")))
+                near = lambda x: F.substring(x, start, p["at"] + p["n"] + 40 - start)
+                return bind(new, lambda x: F.struct(x.alias("text"), (F.slice(_cards(near(x)), F.lit(1), F.size(known)) == known).alias("done")))
 
             def again(first: Column) -> Column:
                 walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda s, _: F.when(s["done"], s).otherwise(tried(s["text"])))
@@ -201,7 +239,8 @@ def _card(m: Column, key: Column, inverse: bool) -> Column:
 
             return bind(tried(text), again)
 
-        return F.when(F.size(picks) > 0, F.aggregate(F.reverse(picks) if inverse else picks, m, moved))
+        order = F.sequence(F.size(picks), F.lit(1), F.lit(-1)) if inverse else F.sequence(F.lit(1), F.size(picks))
+        return F.when(F.size(picks) > 0, F.aggregate(order, m, moved))
 
     return bind(_cards(m), of)
 
@@ -224,25 +263,43 @@ def pseudonym(match: Column, key: str, inverse: bool = False) -> Column:
     makers = {"email": _email, "key": lambda m, k, i: F.concat(F.substring(m, 1, 4), _signs(F.substring(m, F.lit(5), F.lit(16)), k, i)), "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban}
     out = F.lit(None)
     for kind, make in reversed(makers.items()):
-        new = make(match, F.lit(f"{key}|{kind}"), inverse)
-        out = F.when(match.rlike(f"^(?:{FORMATS[kind]})$"), F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("text")))).otherwise(out)
-    return F.coalesce(out, F.struct(F.lit(None).cast("string").alias("kind"), match.alias("text")))
+        new = bind(make(match, F.lit(f"{key}|{kind}"), inverse), lambda n, kind=kind: F.when(n.isNotNull(), F.struct(F.lit(kind).alias("kind"), n.alias("text"))))
+        out = F.when(match.rlike(f"^(?:{FORMATS[kind]})$"), new).otherwise(out)
+    return F.coalesce(out, _kept(match))
+
+
+def _kept(text: Column) -> Column:
+    return F.struct(F.lit(None).cast("string").alias("kind"), text.alias("text"))
+
+
+def _parts(text: Column) -> Column:
+    """The text as an array: what stands before the first value, the value, what follows, and so on."""
+    marked = F.split(F.regexp_replace(text, f"({ANY})", f"{MARK}$1{MARK}"), MARK)
+    gaps, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    # where the text has the mark itself, values are looked for twice
+    apart = F.filter(F.flatten(F.zip_with(gaps, found, lambda g, m: F.array(g, m))), lambda x: x.isNotNull())
+    return F.when(F.instr(text, MARK) > 0, apart).otherwise(marked)
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", inverse: bool = False) -> DataFrame:
     """df with the personal values of `text` replaced, and pseudonyms, how many were.
 
     Validated cards (Luhn), phone numbers, social security numbers, IBANs (mod 97), IPv4 addresses and dates (in the
-    calendar, 1800 to 2199) are permuted within their format under the key, as are names before an @, access key ids
-    and the values of password or token settings. Equal values get equal pseudonyms in all documents, without any
-    exchange between them. Numbers that fail validation, and all other text, stay as they are. With `inverse` and the
-    same key the values come back. Null texts stay null with 0 pseudonyms; every column of df stays, but for pseudonyms.
+    calendar, 1800 to 2199) are permuted within their format under the key, as are names and domains of mail addresses
+    (but for a domain's last label), access key ids and the values of password or token settings of six signs or more.
+    Equal values get equal pseudonyms in all documents, without any exchange between them. Numbers that fail validation,
+    and all other text, stay as they are. With `inverse` and the same key the values come back.
+
+    Values are permuted whole, whatever their length (signs beyond BLOCK in blocks of their own), and texts of any length
+    are read in one pass. Null and empty texts stay as they are with 0 pseudonyms; repeated rows are treated alike; an
+    empty table gives no rows. Every column of df stays, whatever its name, but for pseudonyms, which is replaced.
     """
-    source = F.col(text)
-    plain = ~F.coalesce(source.rlike(HINT), F.lit(False))
-    rows = df.withColumn("_found", F.when(plain, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(source, F.lit(ANY), F.lit(0))))
-    new = F.transform("_found", lambda m: pseudonym(m, key, inverse))
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, new))
-    joined = F.array_join(F.zip_with(F.split(source, ANY, -1), "_new", lambda gap, n: F.concat(gap, F.coalesce(n["text"], F.lit("")))), "")
-    rows = rows.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(source))
-    return rows.withColumn("pseudonyms", F.coalesce(F.size(F.filter("_new", lambda n: n["kind"].isNotNull())), F.lit(0))).drop("_found", "_new")
+    source = F.col(f"`{text}`")
+    others = [c for c in df.columns if c not in (text, "pseudonyms")]
+    hint = F.coalesce(source.rlike(HINT), F.lit(False))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0)).alias("row"), source.alias("old"), F.when(hint, _parts(source)).alias("parts"))
+    new = F.transform("parts", lambda p, i: F.when(i % 2 == 1, pseudonym(p, key, inverse)).otherwise(_kept(p)))
+    rows = rows.select("row", "old", F.when(F.size("parts") > 1, new).alias("new"))
+    joined = F.coalesce(F.array_join(F.transform("new", lambda n: n["text"]), ""), F.col("old"))
+    count = F.coalesce(F.size(F.filter("new", lambda n: n["kind"].isNotNull())), F.lit(0))
+    return rows.select(*[joined.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns if c != "pseudonyms"], count.alias("pseudonyms"))

@@ -29,8 +29,9 @@ def rows(spark, name):
     return Q.QUERIES[name](spark, SF).collect()
 
 
-def test_quality_rules_by_sql(spark, duck):
-    same_as_sql(spark, duck, "op2_host_quality_rules")
+@pytest.mark.parametrize("name", sorted(Q.ORACLE))
+def test_by_sql(spark, duck, name):
+    same_as_sql(spark, duck, name)
 
 
 def test_quality_counts(spark, docs):
@@ -82,13 +83,18 @@ def test_feistel_against_python(spark):
             seed = hashlib.sha256(f"{key}|{r}|{','.join(map(str, other))}".encode()).hexdigest()
             for i in range(len(v)):
                 if (i < half) == (r % 2 == 0):
-                    v[i] = (v[i] + int(hashlib.sha256(f"{seed}|{i}".encode()).hexdigest()[:12], 16)) % sizes[i]
+                    bits = hashlib.sha512(f"{seed}|{i // 16}".encode()).hexdigest()[8 * (i % 16) :][:8]
+                    v[i] = (v[i] + int(bits, 16)) % sizes[i]
         return v
 
     given = [(a, b, c) for a in range(3) for b in range(4) for c in range(5)]
     df = spark.createDataFrame([(list(x),) for x in given], "v array<int>")
     got = [list(r[0]) for r in df.select(feistel(F.col("v"), F.array(F.lit(3), F.lit(4), F.lit(5)), F.lit("k"))).collect()]
     assert got == [one(x, (3, 4, 5), "k") for x in given] and len({tuple(x) for x in got}) == 60
+    long = [(7 * i) % 11 for i in range(100)]
+    df = spark.createDataFrame([(long,)], "v array<int>")
+    got = df.select(feistel(F.col("v"), F.transform("v", lambda _: F.lit(11)), F.lit("k"))).first()[0]
+    assert list(got) == one(long, [11] * 100, "k")
 
 
 def test_lm_scores_tell_quality(spark):
@@ -99,30 +105,6 @@ def test_lm_scores_tell_quality(spark):
     assert np.mean([g < b for g in good for b in bad]) > 0.6  # scored by models that have not seen the text
 
 
-def test_lm_counts_and_losses(spark):
-    from pyspark.sql import functions as F
-
-    from graphloom.llm import lmscore
-
-    texts = [f"a b a {i} c" for i in range(12)] + ["x y x z", "", None]
-    df = spark.createDataFrame([(i, t, i % 3 == 0) for i, t in enumerate(texts)], "doc_id long, text string, t boolean")
-    found = lmscore.counts(df, F.col("t"))
-    assert found[:, : lmscore.WORDS].sum() == sum(len(words(t)) for t in texts)
-    folds = {r["doc_id"]: r["fold"] for r in lmscore.folded(df).collect()}
-    slot = lambda w: lmscore.xxhash.xxh3_64_intdigest(w) & (lmscore.WORDS - 1)
-    for fold in (0, 1):
-        for t in (0, 1):
-            mine = [w for i, x in enumerate(texts) if folds[i] == fold and (i % 3 == 0) == t for w in words(x)]
-            assert found[2 * fold + t][slot("a")] == mine.count("a")
-    models = lmscore.fit(df, F.col("t"))
-    got = {r["doc_id"]: r for r in lmscore.score(df, models).collect()}
-    m = models[folds[12]]
-    ids = [slot(w) for w in words("x y x z")]
-    offsets, enc, before, pairs = lmscore.encoded(__import__("pyarrow").array(["x y x z"]))
-    assert list(enc) == ids and got[13]["score"] is None and got[14]["n_words"] == 0
-    assert got[12]["target_loss"] == pytest.approx(float(np.mean(m[0].loss(enc, before, pairs))), abs=1e-5)
-
-
 def test_ring(spark, docs):
     found = rows(spark, "op4_ring_shards")
     sizes = Counter(r["shard"] for r in found)
@@ -135,6 +117,34 @@ def test_ring(spark, docs):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+@pytest.mark.parametrize(("slack", "part_rows"), [(0.0, 100_000), (0.3, 100_000), (0.0, 50), (0.1, 7)])
+def test_ring_against_one_by_one(spark, slack, part_rows):
+    from pyspark.sql import functions as F
+
+    from graphloom.llm.ring import shard
+
+    shards, vnodes, n = 5, 3, 600
+    df = spark.range(n).select((F.col("id") % 400).alias("k"), F.col("id").alias("i"))  # some keys twice
+    got = {r["i"]: r for r in shard(df, F.col("k"), shards, vnodes, slack, part_rows).collect()}
+    keys = df.select("i", F.xxhash64("k").alias("at"), F.hash("k", "i").alias("tie")).collect()
+    nodes = sorted((int.from_bytes(hashlib.blake2b(f"{s}:{v}".encode(), digest_size=8).digest(), "big", signed=True), s) for s in range(shards) for v in range(vnodes))
+    arc = lambda at: next((k for k, (p, _) in enumerate(nodes) if at <= p), 0)
+    room = [n // shards + (s < n % shards) if not slack else -(-n * (1 + slack) // shards) for s in range(shards)]
+    assert all(got[r["i"]]["home_shard"] == nodes[arc(r["at"])][1] for r in keys)
+    expected, held = {}, Counter()
+    for r in sorted(keys, key=lambda r: (arc(r["at"]), r["at"], r["tie"])):
+        step = next(k for k in range(len(nodes)) if held[nodes[(arc(r["at"]) + k) % len(nodes)][1]] < room[nodes[(arc(r["at"]) + k) % len(nodes)][1]])
+        s = nodes[(arc(r["at"]) + step) % len(nodes)][1]
+        expected[r["i"]] = (s, held[s])
+        held[s] += 1
+    if part_rows > n:
+        assert {i: (r["shard"], r["slot"]) for i, r in got.items()} == expected
+    else:  # other rows of an arc move on, as many of each
+        per_arc = lambda f: Counter((arc(r["at"]), f(r["i"])) for r in keys)
+        assert per_arc(lambda i: got[i]["shard"]) == per_arc(lambda i: expected[i][0])
+        assert sorted((r["shard"], r["slot"]) for r in got.values()) == sorted(expected.values())
+
+
 def test_ring_moves_little_with_slack(spark):
     from pyspark.sql import functions as F
 
@@ -150,9 +160,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_lengths(spark, docs):
@@ -165,6 +173,22 @@ def test_lengths(spark, docs):
         assert tuple(r)[1:] == ((n == at).sum(), (n >= at).sum(), n[n >= at].sum(), (n <= at).sum(), np.minimum(n, at).sum())
 
 
+def test_answers_for_any_limit(spark):
+    from graphloom.llm.lengths import at_limits, length_histogram
+
+    n = np.array([3, 3, 10, 40, 41, 41, 41, 5000, 5000])
+    histogram = length_histogram(spark.createDataFrame([(int(x),) for x in n], "n_tokens long"))
+    limits, shares = [0, 2, 3, 11, 41, 4096, 9999], [0.0, 0.2, 0.5, 0.9, 1.0]
+    got = at_limits(histogram, limits, shares).collect()
+    for r, c in zip(got, limits):
+        assert tuple(r)[2:] == (c, (n <= c).sum(), n[n <= c].sum(), np.minimum(n, c).sum()) and r["kind"] == "limit"
+    for r, q in zip(got[len(limits) :], shares):
+        c = min(x for x in n if (n <= x).sum() >= q * len(n))
+        assert tuple(r)[2:] == (c, (n <= c).sum(), n[n <= c].sum(), np.minimum(n, c).sum()) and r["at"] == q
+    empty = at_limits(histogram.limit(0), [7], [0.5]).collect()
+    assert [tuple(r)[2:] for r in empty] == [(7, 0, 0, 0), (None, 0, 0, 0)]
+
+
 def packs(found, capacity):
     bins = defaultdict(list)
     for r in found:
@@ -223,7 +247,7 @@ def test_encoder_equals_the_tokenizer():
 
     from graphloom.llm.tokens import WordEncoder, default_path, vocabulary
 
-    texts = ["Don't stop, it's 12.5% off...", "İstanbul Σίσυφος ÅNGSTRÖM é́", "a\x1cb\x85c\xa0d  e", "<|endoftext|> x,", ",", "", None, "ab,cd, ef. gh.. 漢字, 漢字"]
+    texts = ["Don't stop, it's 12.5% off...", "İstanbul Σίσυφος ÅNGSTRÖM é́", "a\x1cb\x85c\xa0d  e", "<|endoftext|> x,", "a<|endoftext|>b <|STARTOFTEXT|>", ",", "", None, "ab,cd, ef. gh.. 漢字, 漢字"]
     offsets, ids = WordEncoder(vocabulary(default_path()), 0).encode(pa.array(texts))
     t = tokenizer()
     for k, text in enumerate(texts):
@@ -341,6 +365,24 @@ def test_join_on_near_copies(spark, seed, width, num, hot):
     assert got == brute_components(docs, width, num, 100)
 
 
+def test_join_splits_documents_with_many_pairs(spark, monkeypatch):
+    from graphloom.llm import ngramjoin
+
+    monkeypatch.setattr(ngramjoin, "MANY_PAIRS", 3)
+    monkeypatch.setattr(ngramjoin, "PART_ROWS", 2)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in range(40)]
+    docs = {}
+    for i in range(90):
+        w = list(base)
+        for at in rng.integers(0, 40, int(rng.integers(1, 4))):
+            w[at] = f"n{rng.integers(90)}"
+        docs[i] = {"text": " ".join(w[: 40 - i % 3])}
+    df = spark.createDataFrame([(i, d["text"]) for i, d in docs.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.join_classes(df, 2, 80, 100).collect()}
+    assert got == brute_components(docs, 2, 80, 100)
+
+
 def test_components_of_a_chain(spark):
     from graphloom.llm.components import components
 
@@ -353,7 +395,7 @@ def test_components_of_a_chain(spark):
 
 
 def canonical(text):
-    return re.sub("[\t-\r \x85\xa0  -     　]+", " ", unicodedata.normalize("NFC", text or "").lower()).strip(" ")
+    return re.sub("[\t-\r \x85\xa0  -     　]+", " ", unicodedata.normalize("NFC", unicodedata.normalize("NFC", text or "").casefold())).strip(" ")
 
 
 def test_digests(spark, docs):
@@ -383,11 +425,14 @@ def test_followers_across_blocks(spark):
 def test_digest_forms(spark):
     from graphloom.llm.digest import fingerprints, told_apart
 
-    texts = ["Café  au lait", "CAFÉ au lait ", "cafe au lait", "", None, " "]
+    texts = ["Café  au lait", "CAFÉ au lait ", "cafe au lait", "", None, " ", "Straße ΟΔΟΣ", "STRASSE οδος"]
     got = [r["fingerprint"] for r in fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert got[0] == got[1] != got[2] and got[3] == got[4] == got[5]
+    assert got[0] == got[1] != got[2] and got[3] == got[4] == got[5] and got[6] == got[7]
     forms = spark.createDataFrame([(1, "x", "d"), (2, "x", "d"), (3, "y", "d"), (4, "z", "e")], "row long, form string, digest string")
     assert [r["row"] for r in told_apart(forms, forms).collect()] == [3]
+    many = spark.range(300).selectExpr("id AS row", "CASE WHEN id % 7 = 3 THEN 'odd' ELSE 'even' END AS form", "CAST(id % 2 AS string) AS digest")
+    for few in (0, 2_000_000):
+        assert sorted(r["row"] for r in told_apart(many, many, few, 10).collect()) == sorted(i for i in range(300) if i % 7 == 3)
 
 
 def test_pipeline(spark, docs):

@@ -2,6 +2,8 @@
 
 import pytest
 
+from conftest import SF
+
 pytest.importorskip("graphloom.llm.queries")
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -18,11 +20,13 @@ ROWS = [
     (5, LONG, "en", "s2", len(LONG)),
     (6, "x" * 200_000, "en", "s2", 200_000),
 ]
-CLASH = "kept host base_failed f shard slot size n_words gram print taken copies position target fold pseudonyms n_tokens length piece next_text b form _row _found _rank row"
+#: Operators that keep the columns of df, but for those they name.
+KEEPERS = {"pseudonyms": "text pseudonyms", "passing": "", "ring": "shard slot home_shard", "one of each": "", "whole mixture": "size source_size target taken copies", "in order": "size source_size target taken copies copy words position", "extraction": "html text n_chars"}
+CLASH = "_at at arc tie part rank lo hi _part _n n _s s h i c base goal pieces parts old new parts_of _new _lp _x x html kept host base_failed f shard slot size n_words gram print taken copies position target fold pseudonyms n_tokens length piece next_text b form _row _found _rank row"
 
 
 def jobs():
-    from graphloom.llm import curriculum, digest, hostrules, lengths, lmscore, ngramjoin, packing, pii, ring
+    from graphloom.llm import curriculum, digest, hostrules, html, lengths, lmscore, ngramjoin, packing, pii, ring
 
     empty_labels = lambda spark: spark.createDataFrame([], "doc_id long, quality int, toxic int")
     return {
@@ -34,6 +38,10 @@ def jobs():
         "counts": lambda s, d: lengths.token_counts(d),
         "packing": lambda s, d: packing.pack_documents(d, 64, with_ids=True),
         "mixture": lambda s, d: curriculum.place(curriculum.sized(d), lambda r, _: r + 1),
+        "whole mixture": lambda s, d: curriculum.place(d.withColumn("size", F.length("text")), lambda r, _: r + 1, whole=True),
+        "in order": lambda s, d: curriculum.in_order(curriculum.place(d.withColumn("size", F.length("text")), lambda r, _: r + 1)),
+        "extraction": lambda s, d: html.extract(d.withColumnRenamed("html", "_html").withColumnRenamed("text", "html")),
+        "histogram": lambda s, d: lengths.length_histogram(lengths.token_counts(d).unionByName(s.createDataFrame([(None,)], "n_tokens long"))),
         "join": lambda s, d: ngramjoin.join_classes(d),
         "one of each": lambda s, d: ngramjoin.one_of_each(d),
         "digest": lambda s, d: digest.edited_fingerprints(d),
@@ -42,7 +50,7 @@ def jobs():
 
 
 #: Rows that an operator gives for ROWS.
-EXPECTED = {"passing": None, "packing": None, "one of each": None}
+EXPECTED = {"passing": 2, "packing": None, "one of each": 8, "in order": None, "histogram": None}
 
 
 @pytest.mark.parametrize("name", list(jobs()))
@@ -52,10 +60,27 @@ def test_any_rows(spark, name):
     for c in CLASH.split():
         df = df.withColumn(c, F.lit("taken"))
     got = job(spark, df).collect()
-    if name not in EXPECTED:
-        assert len(got) == len(ROWS)
-    empty = job(spark, df.limit(0))
-    assert empty.collect() == []
+    if EXPECTED.get(name, len(ROWS)):
+        assert len(got) == EXPECTED.get(name, len(ROWS))
+    if name in KEEPERS:
+        kept = [c for c in df.columns if c not in KEEPERS[name].split()]
+        assert set(kept) <= set(got[0].asDict()) and all(r[c] == "taken" for r in got for c in kept if c in CLASH.split())
+        assert {(r["doc_id"], r["lang"], r["source"]) for r in got} <= {(r[0], r[2], r[3]) for r in ROWS}
+    empty = job(spark, df.limit(0)).collect()
+    assert empty == [] or (name == "histogram" and [r["context_limit"] for r in empty] == [])
+
+
+def test_stages_on_any_rows(spark):
+    import corpus_pipeline as P
+
+    before = spark.createDataFrame(ROWS, SCHEMA)
+    for rows in (before, before.limit(0)):
+        df = rows
+        for _, stage in P.STAGES[:-1]:
+            df = stage(spark, df, SF)
+            assert df.columns == before.columns
+        out = P.STAGES[-1][1](spark, df, SF).collect()
+        assert {r["doc_id"] for r in out} == ({None, 5} if rows is before else set())
 
 
 def by_id(df):

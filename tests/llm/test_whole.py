@@ -110,3 +110,88 @@ def test_join_of_documents_on_the_filters_first_place(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in ngramjoin.join_classes(df).collect()}
     linked = min(first[0], *last)
     assert got == {first[0]: linked, last[0]: linked, last[1]: linked, first[1]: first[1]}
+
+
+HARD = {
+    "a name of a host with many parts": "a@b" + ".c" * 100_000 + " end",
+    "a long name": ".".join(["x"] * 100_000) + "@y.example end",
+    "a long secret": "password=" + "abcDEF123-" * 30_000 + " end",
+    "many cards": "4111111111111111 " * 1000,
+    "many numbers": "1 " * 200_000,
+    "many settings": "password " * 100_000,
+    "many accounts": "DE89370400440532013000 " * 1000,
+    "the mark": "\x01 a.b@c.de \x01 10.0.0.1",
+    "a long text": "the quick brown fox " * 2_500_000 + "a.b@c.de end",
+}
+
+
+@pytest.mark.parametrize("name", list(HARD))
+def test_pseudonyms_of_long_texts(spark, name):
+    from graphloom.llm.pii import pseudonymise
+
+    new = pseudonymise(spark.createDataFrame([(1, HARD[name])], "doc_id long, text string"), "k").collect()
+    old, now = HARD[name], new[0]["text"]
+    assert (now == old) == (name in ("many numbers", "many settings")) and (name == "the mark" or len(now) == len(old))
+    if name.startswith("a "):  # a value stands at the start or, in the long text, at the end: no part of it is left
+        end = old.rfind(" end")
+        at = {"a long secret": 9, "a long text": end - 8}.get(name, 0)
+        assert now[:at] == old[:at] and now[end:] == old[end:]
+        assert all(now[k : k + 60] != old[k : k + 60] for k in range(at, end, 60))
+    back = pseudonymise(spark.createDataFrame(new).drop("pseudonyms"), "k", inverse=True).collect()
+    assert back[0]["text"] == old
+
+
+def test_domains_are_hidden_and_linked(spark):
+    from graphloom.llm.pii import pseudonymise
+
+    texts = ["jane@jane-doe.example", "joe.b@jane-doe.example", "joe.b@other.example"]
+    got = [r["text"] for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    names, domains = zip(*(x.split("@") for x in got))
+    assert domains[0] == domains[1] != domains[2] and names[1] == names[2] and all(d.endswith(".example") for d in domains)
+    assert "doe" not in domains[0] and len(domains[0]) == len("jane-doe.example")
+
+
+LONG = "Words of the article that go on for a while. " * 4
+PAGES = {
+    f"<article class='post has-share sidebar-right'><p>{LONG}</p><p>Short.</p></article><footer>end of page</footer>": f"{LONG.strip()}\nShort.",
+    f"<nav><a href=x>Menu</a></nav><div class='content with-sidebar'><p>{LONG}</p></div>": LONG.strip(),
+    f"<main><div class='legal'><p>{LONG}</p></div></main><footer>{LONG}</footer>": LONG.strip(),
+    f"<form id=all><nav>Menu of the site</nav><div><h1>Title</h1><p>{LONG}</p></div></form>": f"Title\n{LONG.strip()}",
+    f"<div><h1>Title</h1><p>By me</p><p>{LONG}</p><div class=ad>a</div><div class=ad>b</div><div class=ad>c</div><p>Last.</p></div>": f"Title\nBy me\n{LONG.strip()}\nLast.",
+    f"<div><p>{LONG}</p><p><a href=x>All of this is a link</a></p><p>{LONG}</p></div>": f"{LONG.strip()}\nAll of this is a link\n{LONG.strip()}",
+    f"<ul><li><a href=x>One</a><li><a href=y>Two</a></ul><p>{LONG}</p>": LONG.strip(),
+    f"<div id=a><p>{LONG}</p></div><div class=comments><p>{LONG * 3}</p></div>": LONG.strip(),
+    "<article><p>Tiny.</p></article><div id=comments><p>" + LONG * 9 + "</p></div>": "Tiny.",
+    "a < b and <b>c</b> > d": "a < b and c > d",
+    "<p onclick=\"if (a > b) x('<p>')\">One</p><p>Two": "One\nTwo",
+    "<nav>only a menu</nav>": "",
+}
+
+
+@pytest.mark.parametrize("page", list(PAGES))
+def test_lines_decide_with_and_without_article(page):
+    from graphloom.llm.html import main_text
+
+    assert main_text(page) == PAGES[page]
+
+
+@pytest.mark.parametrize("change", [("<article>", "<div id=x>", "</article>", "</div>"), ("<article>", "", "</article>", ""), ("<article>", "<main><div class=legal>", "</article>", "</div></main>"), ("<body>", "<body><form>", "</body>", "</form></body>")])
+def test_pages_marked_up_otherwise_give_the_same_text(spark, change):
+    from graphloom.llm.html import main_text
+    from graphloom.llm.tables import read
+
+    a, b, c, d = change
+    pages = [r["html"] for r in read(spark, SF, "pages").collect()]
+    assert len(pages) > 20 and all(main_text(p.replace(a, b).replace(c, d)) == main_text(p) != "" for p in pages)
+
+
+@pytest.mark.parametrize("unit", ["<a", '<a "', '<a b=">"', "<a '>", "<!", "<script></script", "<div>a", "<div class=ad>a", "<p>a", "<", "<table><tr><td>", "&amp", "<a x=\"'>", "<!--", "<article><p>abc</p>"])
+def test_extraction_takes_time_in_proportion(unit):
+    import time
+
+    from graphloom.llm.html import main_text
+
+    for page in (unit * 2000, unit * (1_000_000 // len(unit)), unit * (1_000_000 // len(unit)) + ">"):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 10  # under a second where nothing else runs
