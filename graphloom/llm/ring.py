@@ -48,44 +48,54 @@ def segments(counts: dict[int, int], owner: np.ndarray, room: list[int]) -> list
     return out
 
 
-def shard(df: DataFrame, key: Column, shards: int, vnodes: int = 64, slack: float = 0.0) -> DataFrame:
+def shard(df: DataFrame, key: Column, shards: int, vnodes: int = 64, slack: float = 0.0, part_rows: int | None = None) -> DataFrame:
     """Adds shard and slot (gapless from 0 in each shard), and home_shard, which the ring names before any overflow.
 
     A row's place on the ring is a hash of its key alone. Each shard holds at most its capacity: an equal share
     (differing by one row at most) with slack 0, else (1 + slack) times that share. What overflows continues clockwise.
-    Only the row counts of the shards * vnodes arcs reach the driver. Ranks come from a window over pieces of arcs
-    (16 each), so that no task holds more than a small part of one shard's rows.
+    Rows of an arc are ranked in parts of some `part_rows` (2000, or a 200,000th of all rows), dealt by a hash of all columns, so that neither a hot arc nor
+    a repeated key is one task's; rows equal in all columns share a part. What reaches the driver are the row counts of
+    the shards * vnodes arcs and of their parts, one more for each `part_rows` rows.
 
     Null keys share one place; rows of one key keep together until their shard is full, in arbitrary order among
-    identical rows. An empty table gives an empty result. Columns of df stay, but for those four names.
+    identical rows. An empty table gives an empty result. Columns of df stay, whatever their names, but for those three.
     """
     positions, owner = ring(shards, vnodes)
-    pieces, width = 16, len(positions)
+    width = len(positions)
+    kept = [c for c in df.columns if c not in ("shard", "slot", "home_shard")]
+    told = [F.col(f"`{c}`") for c, kind in df.dtypes if kind.split("<")[0] not in ("map", "variant")]
 
     @F.pandas_udf("int")
     def arc_of(at):
-        return at.map(int).to_frame().assign(a=np.searchsorted(positions, at.to_numpy(), side="left") % width)["a"].astype("int32")
+        import pandas as pd
+
+        return pd.Series((np.searchsorted(positions, at.to_numpy(), side="left") % width).astype("int32"))
 
-    hashed = df.withColumn("_at", F.xxhash64(key)).withColumn("_arc", arc_of("_at"))
-    hashed = hashed.withColumn("_part", F.pmod(F.xxhash64(F.col("_at"), F.lit("part")), F.lit(pieces)).cast("int"))
-    counted = {(r["_arc"], r["_part"]): r["n"] for r in hashed.groupBy("_arc", "_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    arcs, first = Counter(), {}
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0)).alias("row"), F.xxhash64(key).alias("at"), F.hash(*told).alias("tie")).withColumn("arc", arc_of("at"))
+    arcs = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark = df.sparkSession
+    part_rows = part_rows or max(2000, sum(arcs.values()) // 200_000)
+    if max(arcs.values(), default=0) > part_rows:
+        # one row an arc
+        deal = spark.createDataFrame([(a, 1 + n // part_rows) for a, n in arcs.items()], "arc int, parts int")
+        rows = rows.join(F.broadcast(deal), "arc").withColumn("part", F.pmod(F.xxhash64("at", "tie"), F.col("parts")).cast("int"))
+        counted = {(r["arc"], r["part"]): r["n"] for r in rows.groupBy("arc", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+        counted = {(a, 0): n for a, n in arcs.items()}
+    first, upto = {}, Counter()
     for arc, part in sorted(counted):
-        first[arc, part] = arcs[arc]
-        arcs[arc] += counted[arc, part]
-    placed = segments(arcs, owner, capacities(sum(arcs.values()), shards, slack))
+        first[arc, part] = upto[arc]
+        upto[arc] += counted[arc, part]
     by_arc: dict[int, list] = {}
-    for arc, lo, hi, s, slot in placed:
+    for arc, lo, hi, s, slot in segments(arcs, owner, capacities(sum(arcs.values()), shards, slack)):
         by_arc.setdefault(arc, []).append((lo, hi, s, slot))
-    rows = []
+    plan = []
     for (arc, part), base in first.items():
         end = base + counted[arc, part]
-        rows += [(arc, part, max(lo, base) - base, min(hi, end) - base, s, slot + max(lo, base) - lo, int(owner[arc])) for lo, hi, s, slot in by_arc[arc] if lo < end and hi > base]
-    spark = df.sparkSession
-    plan = spark.createDataFrame(rows, "_arc int, _part int, _lo long, _hi long, shard int, _slot long, home_shard int")
-    # at most 16 * arcs + segments rows: a bound that the ring sets, not the table
-    place = Window.partitionBy("_arc", "_part").orderBy("_at", "_tie")
-    told = [F.col(f"`{c}`") for c, kind in df.dtypes if kind.split("<")[0] not in ("map", "variant")]
-    ranked = hashed.withColumn("_tie", F.hash(*told)).withColumn("_rank", F.row_number().over(place) - 1).drop("shard", "slot", "home_shard")
-    joined = ranked.join(F.broadcast(plan), ["_arc", "_part"]).where("_rank >= _lo AND _rank < _hi")
-    return joined.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo")).drop("_at", "_arc", "_part", "_lo", "_hi", "_slot", "_rank", "_tie")
+        plan += [(arc, part, max(lo, base) - base, min(hi, end) - base, s, slot + max(lo, base) - lo, int(owner[arc])) for lo, hi, s, slot in by_arc[arc] if lo < end and hi > base]
+    # at most one row for each arc, part and segment: a bound that the ring and part_rows set
+    plan = spark.createDataFrame(plan, "arc int, part int, lo long, hi long, shard int, slot long, home_shard int")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "part").orderBy("at", "tie")) - 1)
+    joined = ranked.join(F.broadcast(plan), ["arc", "part"]).where("rank >= lo AND rank < hi")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", (F.col("slot") + F.col("rank") - F.col("lo")).alias("slot"), "home_shard")
