@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from graphloom.llm import sums
 from graphloom.llm.components import components, salted
-from graphloom.llm.tables import drop, written
+from graphloom.llm.tables import drop, settle, written
 from graphloom.llm.text import batch_arrays, coded
 from graphloom.llm.tokens import forget
 
@@ -25,7 +25,7 @@ PART_BYTES = 4 << 20
 #: Rows that one part of a frequent n-gram, a leader or a component has, of all that the corpus may give it.
 PART_ROWS = 20_000
 #: Pairs of one document from which on they are split.
-MANY_PAIRS = 1000
+MANY_PAIRS = 100
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -261,10 +261,13 @@ def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, h
     limit = hot + 4 * ((total or 0) >> bits)
     held = _held(_prefixes(docs, width, num, den, spark.sparkContext.broadcast(counts), bits, limit, parts), parts)
 
+    settle(spark)
     ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     led = held.alias("x").where(F.col("x.print") != F.col("x.lead.print")).withColumn("y", F.col("x.lead"))
     tried = written(ordered(led.where(_passes("x", "y", num, den)), F.col("x.print"), F.col("y.print")))
+    del led
     links = written(_verified(docs, classes, tried, width, num, den))
+    settle(spark)
 
     roots = written(components(links))
     part = held.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
@@ -278,6 +281,8 @@ def join_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, h
     more = written(ordered(met, F.col("x.print"), F.col("y.print")).join(tried, ["a", "b"], "left_anti"))
     drop(part)
     drop(tried)
+    del part, outer, met
+    settle(spark)
     links = links.unionByName(written(_verified(docs, classes, more, width, num, den)))
 
     roots = components(links)
@@ -295,10 +300,14 @@ def one_of_each(df: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     its columns among equal texts. Rows without a doc_id all stay, as nothing names them. Columns of df stay, whatever
     their names; an empty table gives no rows.
     """
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     classes = join_classes(df.where("doc_id IS NOT NULL"), width, num, den).where("doc_id = component_id")
-    kept = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    named = rows.join(kept, "doc_id")
+    kept = written(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    # merged whatever the size: a table of ids that is broadcast while small would hide what larger ones exchange
+    named = rows.hint("merge").join(kept, "doc_id")
+    nameless = df.where("doc_id IS NULL")
+    if not kept.where("n > 1").limit(1).count():
+        return named.select("row.*").unionByName(nameless)
     told = [F.col("row").getField(c) for c, kind in df.dtypes if kind.split("<")[0] not in ("map", "variant")]
-    least = named.where("n > 1").groupBy("doc_id").agg(F.min_by("row", F.struct("text", F.xxhash64(*told))).alias("row"))
-    return named.where("n = 1").select("row.*").unionByName(least.select("row.*")).unionByName(df.where("doc_id IS NULL"))
+    least = named.where("n > 1").groupBy("doc_id").agg(F.min_by("row", F.struct("row.text", F.xxhash64(*told))).alias("row"))
+    return named.where("n = 1").select("row.*").unionByName(least.select("row.*")).unionByName(nameless)
