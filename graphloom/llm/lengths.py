@@ -19,7 +19,7 @@ def token_counts(df: DataFrame, text: str = "text", path: str | None = None) ->
     def count(batches):
         import pyarrow as pa
 
-        for (texts,) in batch_arrays(batches, "text"):
+        for (texts,) in batch_arrays(batches, "text", part_bytes=4 << 20):
             offsets, _ = encoder(source.value, None).encode(texts)
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets), pa.int64())], names=["n_tokens"])
 
@@ -51,3 +51,24 @@ def length_histogram(counts: DataFrame, length: str = "n_tokens", block: int = 1
         (F.col("_nd") - F.col("docs_from") + F.col("n_docs")).alias("docs_upto"),
         (F.col("_nt") - F.col("tokens_from") + F.col("context_limit") * F.col("docs_from")).alias("truncated_tokens"),
     )
+
+
+def at_limits(histogram: DataFrame, limits: list[int], quantiles: list[float] = ()) -> DataFrame:
+    """What length_histogram() answers for any context limit, one row each, and the length at any quantile.
+
+    kind is "limit" or "quantile", at the limit or the share asked for, length the limit or the least length that so many
+    documents do not exceed; docs_upto, tokens_upto (of documents of at most that length) and truncated_tokens follow. One
+    pass over the histogram; limits need not be observed lengths. An empty histogram gives null lengths and zeros.
+    """
+    n, size = F.col("n_docs"), F.col("context_limit")
+    whole = F.sum("n_docs")
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+
+    def upto(kind: str, at: float, length):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(float(at)).alias("at"), length.cast("long").alias("length"), zero(F.sum(F.when(size <= length, n))).alias("docs_upto"), zero(F.sum(F.when(size <= length, n * size))).alias("tokens_upto"), zero(F.sum(n * F.least(size, length))).alias("truncated_tokens"))
+
+    if quantiles:
+        total = int(histogram.agg(whole).first()[0] or 0)
+        found = histogram.agg(*[F.min(F.when(F.col("docs_upto") >= q * total, size)) for q in quantiles]).first()
+    asked = [("limit", c, F.lit(int(c))) for c in limits] + [("quantile", q, F.lit(found[k]).cast("long")) for k, q in enumerate(quantiles)]
+    return histogram.agg(F.array(*[upto(*x) for x in asked]).alias("x")).select(F.explode("x").alias("x")).select("x.*")

@@ -27,7 +27,7 @@ def pieces(df: DataFrame, capacity: int = 2048, path: str | None = None, end: in
     def cut(batches):
         import pyarrow as pa
 
-        for keys, texts in batch_arrays(batches, "doc_id", "text"):
+        for keys, texts in batch_arrays(batches, "doc_id", "text", part_bytes=4 << 20):
             offsets, ids = encoder(source.value, end).encode(texts)
             sizes = np.diff(offsets)
             n = -(-sizes // capacity)
@@ -103,15 +103,24 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(cut: DataFrame, capacity: int = 2048, salt: int = 128) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, part_rows: int | None = None) -> DataFrame:
     """Adds sequence_id and offset (gapless from 0) to a table of pieces with doc_id, piece and length (1 to capacity).
 
-    Only counts by (length, salt) reach the driver: at most capacity * salt rows. Equal lengths are ranked inside
-    `salt` parts by a hash of doc_id and piece, so that a hot length is split. Rows that are alike in doc_id, piece and
-    length are interchangeable. An empty table gives an empty result.
+    Equal lengths are ranked in parts of some `part_rows` (2000, or a 200,000th of all pieces) by a hash of doc_id and piece,
+    so that a hot length, as that of full pieces is, is split. Only counts by length and part reach the driver: one row for
+    each length and for each `part_rows` pieces, some 200,000 at most. Rows that are alike in doc_id, piece and length are interchangeable. An empty table gives an
+    empty result.
     """
-    salted = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salt)).cast("int"))
-    counted = {(r["length"], r["_part"]): r["n"] for r in salted.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lengths = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part_rows = part_rows or max(2000, sum(lengths.values()) // 200_000)
+    if max(lengths.values(), default=0) > part_rows:
+        # at most `capacity` rows
+        deal = cut.sparkSession.createDataFrame([(k, 1 + n // part_rows) for k, n in lengths.items()], "length long, _parts long")
+        salted = cut.join(F.broadcast(deal), "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_parts")).cast("int")).drop("_parts")
+        counted = {(r["length"], r["_part"]): r["n"] for r in salted.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    else:
+        salted = cut.withColumn("_part", F.lit(0))
+        counted = {(k, 0): n for k, n in lengths.items()}
     total: dict[int, int] = defaultdict(int)
     parts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for length, part in sorted(counted):
@@ -134,7 +143,7 @@ def pack(cut: DataFrame, capacity: int = 2048, salt: int = 128) -> DataFrame:
                     rows.append((length, part, a - base, b - base, first + a - lo, offset))
                 at += 1
     ranges = cut.sparkSession.createDataFrame(rows, "length long, _part int, _lo long, _hi long, _bin long, offset long")
-    # at most capacity * salt rows plus the plan's: a bound that the capacity sets, not the corpus
+    # one row for each length, part and step of the plan
     order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
     ranked = salted.withColumn("_rank", F.row_number().over(order) - 1)
     joined = ranked.join(F.broadcast(ranges), ["length", "_part"]).where("_rank >= _lo AND _rank < _hi")

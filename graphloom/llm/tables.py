@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Rows that go to Python workers at a time while a table is written: texts are long.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _registered: set[str] = set()
 
 
@@ -43,7 +46,12 @@ def written(df: DataFrame) -> DataFrame:
         _registered.add(top)
         atexit.register(_drop, spark, top)
     path = f"{top}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    had = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(had), BATCH_ROWS) if int(had) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, had)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out
@@ -62,5 +70,11 @@ def spread(df: DataFrame, small: int = 48 << 20) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) <= small else df
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the cluster drop the shuffle files of finished steps whose results are written and whose plans nothing names."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -46,6 +46,20 @@ def coded(texts, lower: bool):
     return before[offsets], codes[keep], uniques
 
 
+def release() -> None:
+    """Hand memory that this worker process has freed back to the system: workers stay between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def batch_arrays(batches, *names, part_bytes: int = 8 << 20):
     """The named columns of Arrow batches, in parts of some `part_bytes`: what is built for a part stays small."""
     for batch in batches:
@@ -53,3 +67,4 @@ def batch_arrays(batches, *names, part_bytes: int = 8 << 20):
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield [part.column(part.schema.get_field_index(n)) for n in names]
+    release()

@@ -8,11 +8,11 @@ import sys
 
 import numpy as np
 
-from graphloom.llm.text import coded
+from graphloom.llm.text import coded, release
 
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words whose ids one Python worker keeps; beyond it the memory starts afresh, results are the same.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 _ENDS = frozenset(",.")
 
 
@@ -39,6 +39,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
+        # a text that has a special token is encoded whole, by a plain tokenizer made when one comes; words are never such tokens
+        self.source, self.plain = source, None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.encode_special_tokens = True
         pre = json.dumps(json.loads(source)["pre_tokenizer"])
         if r"[^\\s\\p{L}\\p{N}]+" not in pre or "Removed" not in pre or "</w>" not in source:
@@ -70,6 +73,21 @@ class WordEncoder:
                     begin = e
 
     def encode(self, texts):
+        import pyarrow.compute as pc
+
+        offsets, ids = self._words(texts)
+        extra = int(self.end is not None)
+        found = {}
+        for k in {int(k) for t in self.special for k in np.flatnonzero(pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False))}:
+            if self.plain is None:
+                self.plain = type(self.tokenizer).from_str(self.source)
+            found[k] = np.array(self.plain.encode(texts[k].as_py(), add_special_tokens=False).ids + [self.end] * extra, dtype="<u4")
+        if not found:
+            return offsets, ids
+        parts = [found.get(k, ids[b:e]) for k, (b, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
+        return np.cumsum([0] + [len(p) for p in parts]), np.concatenate(parts)
+
+    def _words(self, texts):
         offsets, codes, uniques = coded(texts, lower=True)
         # a letter and then one comma or full stop at a word's end are two pre-tokens: the ids of the stem, then the sign's
         stems = [w[:-1] if w[-1:] in _ENDS and w[-2:-1].isalpha() else w for w in uniques]
@@ -111,3 +129,4 @@ def encoder(source: str, end: int | None = 0) -> WordEncoder:
 def forget() -> None:
     """Give back the memory that encoders of earlier tasks hold in this worker process."""
     sys.__dict__.pop("_graphloom_encoders", None)
+    release()
