@@ -81,11 +81,14 @@ def _judged(counted: DataFrame, reject_host: float, suspect_host: float, symbol_
     soft = (F.col("n_symbols") > symbol_share * F.col("word_chars")) | (20 * F.col("n_dup_lines") > dup_lines * F.col("n_words"))
     suspect = (F.col("host_rate") > suspect_host) & (F.col("host_rate") > 2 * F.col("corpus_rate"))
     kept = ~F.col("base_failed") & (F.col("host_rate") <= reject_host) & ~(suspect & soft)
-    return joined.withColumn("kept", kept).drop("_host", "corpus_rate")
+    verdict = F.when(F.col("host_rate") > reject_host, "rejected").when(suspect, "suspect").otherwise("kept")
+    return joined.withColumn("kept", kept).withColumn("host_verdict", verdict).drop("_host", "corpus_rate")
 
 
 def judge(df: DataFrame, text: str = "text", host: str = "source", reject_host: float = 0.8, suspect_host: float = 0.3, symbol_share: float = 0.1, dup_lines: float = 0.3) -> DataFrame:
-    """doc_id, the five counts, base_failed, kept, host, host_rate for each document.
+    """doc_id, the five counts, base_failed, kept, host, host_rate and host_verdict (kept, suspect or rejected) for each document.
+
+    The host is whatever column is named, `source` unless told: a domain where the table has one.
 
     Base rules: under 20 words, or over 30 % of the words in repeated 8-word windows. A document that fails one goes.
     All documents of a host whose shrunk failure rate exceeds `reject_host` go. On a host above `suspect_host` and
@@ -97,10 +100,11 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", reject_host:
     """
     counted = _counted(df.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text")))
     judged = _judged(counted, reject_host, suspect_host, symbol_share, dup_lines)
-    return judged.select("doc_id", *RULES, "base_failed", "kept", "host", F.round("host_rate", 6).alias("host_rate"))
+    return judged.select("doc_id", *RULES, "base_failed", "kept", "host", F.round("host_rate", 6).alias("host_rate"), "host_verdict")
 
 
 def passing(df: DataFrame, text: str = "text", host: str = "source", reject_host: float = 0.8, suspect_host: float = 0.3, symbol_share: float = 0.1, dup_lines: float = 0.3) -> DataFrame:
-    """The rows of df that judge() keeps, with df's columns."""
+    """The rows of df that judge() keeps, with df's columns, whatever their names. Rows without a text go, as they have no
+    words; repeated rows stay or go together; an empty table gives no rows."""
     counted = _counted(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(host).alias("host"), F.col(text).alias("text")))
     return _judged(counted, reject_host, suspect_host, symbol_share, dup_lines).where("kept").select("_row.*")

@@ -6,131 +6,16 @@ import zlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import sums
 from graphloom.llm.tables import written
 from graphloom.llm.text import batch_arrays, coded
 from graphloom.llm.tokens import forget
 
-#: The shared vocabulary: every word of the corpus has one of these hashed ids. One more stands for a text's start.
-WORDS = 1 << 18
-#: Hashed slots of word pairs.
-PAIRS = 1 << 21
-
-
-def encoded(texts):
-    """(offsets, ids, pairs): word ids of the texts, and the slot of each word with the one before it."""
-    offsets, codes, uniques = coded(texts, lower=True)
-    base = np.array([xxhash.xxh3_64_intdigest(w) & (WORDS - 1) for w in uniques] or [0], dtype=np.int64)
-    ids = base[codes] if len(codes) else np.zeros(0, np.int64)
-    before = np.full(len(ids), WORDS, np.int64)
-    before[1:] = ids[:-1]
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    before[starts] = WORDS
-    with np.errstate(over="ignore"):
-        mixed = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return offsets, ids, before, (mixed >> np.uint64(43)).astype(np.int64)
-
-
-LAYOUT = (WORDS, WORDS + 1, PAIRS)  # words, contexts, pairs
-
-
 def folded(df: DataFrame) -> DataFrame:
     """df with fold, 0 or 1: equal texts fall in one fold, so that no model has seen the text it scores."""
-    return df.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-
-
-def counts(df: DataFrame, target: Column) -> np.ndarray:
-    """Word, context and pair counts of df (text), in four arrays laid out alike: by fold, of other and of target rows.
-
-    Every task sums its own rows in arrays of fixed size, and the tasks' arrays are summed chunk by chunk: the gathered
-    data grow with the corpus, the model does not.
-    """
-    total = sum(LAYOUT)
-    size = -(-total // sums.CHUNK) * sums.CHUNK
-
-    def scan(batches):
-        import pyarrow as pa
-
-        forget()
-        every = np.zeros(4 * size, np.int64)
-        for texts, groups in batch_arrays(batches, "text", "group"):
-            offsets, ids, before, pairs = encoded(texts)
-            group = np.repeat(groups.to_numpy(), np.diff(offsets))
-            for k in range(4):
-                part = group == k
-                at = k * size
-                for values, n in zip((ids, before, pairs), LAYOUT, strict=True):
-                    if part.any():
-                        every[at : at + n] += np.bincount(values[part], minlength=n)
-                    at += n
-        got = list(sums.chunks(every))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["chunk", "counts"])
-
-    group = 2 * F.col("fold") + F.coalesce(target, F.lit(False)).cast("int")
-    rows = folded(df).select("text", group.alias("group"))
-    return sums.gather(rows.mapInArrow(scan, sums.SCHEMA), 4 * size).reshape(4, size)[:, :total]
-
-
-class Model:
-    """Interpolated bigram model over the shared vocabulary; counts may be scaled to match another model's mass."""
-
-    def __init__(self, found: np.ndarray, scale: float, mix: float = 0.4, extra: float = 0.5):
-        words, contexts, pairs = np.split(found.astype(np.float64) * scale, np.cumsum(LAYOUT)[:-1])
-        self.word = ((words + extra) / (words.sum() + extra * WORDS)).astype(np.float32)
-        self.context, self.pair, self.mix = contexts.astype(np.float32), pairs.astype(np.float32), np.float32(mix)
-
-    def loss(self, ids, before, pairs):
-        """Negative log probability of each word, in nats."""
-        seen = np.minimum(self.pair[pairs], self.context[before])  # a slot may hold several pairs
-        share = np.divide(seen, self.context[before], out=np.zeros(len(ids), np.float32), where=self.context[before] > 0)
-        mix = np.where(self.context[before] > 0, self.mix, 0)
-        return -np.log(mix * share + (1 - mix) * self.word[ids])
-
-
-def fit(df: DataFrame, target: Column) -> list[tuple[Model, Model]]:
-    """For each fold the target's and the background's model, of the other fold's rows. The background's counts are
-    scaled to the target's number of words, so that both are smoothed alike: same vocabulary, order, interpolation and mass."""
-    found = counts(df, target)
-    out = []
-    for fold in (0, 1):
-        outside, inside = found[2 * (1 - fold)], found[2 * (1 - fold) + 1]
-        n, m = inside[:WORDS].sum(), outside[:WORDS].sum()
-        out.append((Model(inside, 1.0), Model(outside, float(n / m) if n and m else 1.0)))
-    return out
-
-
-def score(df: DataFrame, models: list[tuple[Model, Model]]) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss and score, their difference a word: the lower, the more like the target.
-
-    Whole texts are scored. A text without words, or a null one, has 0 words and null losses.
-    """
-    shipped = df.sparkSession.sparkContext.broadcast(models)  # four models of some 10 MB, whatever the corpus
-
-    def scan(batches):
-        import pyarrow as pa
-
-        models = shipped.value
-        for keys, texts, folds in batch_arrays(batches, "doc_id", "text", "fold"):
-            offsets, ids, before, pairs = encoded(texts)
-            n = np.diff(offsets)
-            fold = np.repeat(folds.to_numpy(), n)
-            losses = np.zeros((2, len(ids)), np.float32)
-            for f in (0, 1):
-                part = fold == f
-                for k in (0, 1):
-                    losses[k, part] = models[f][k].loss(ids[part], before[part], pairs[part])
-            out = []
-            for row in losses:
-                upto = np.concatenate(([0.0], np.cumsum(row, dtype=np.float64)))
-                out.append(np.divide(upto[offsets[1:]] - upto[offsets[:-1]], n, out=np.zeros(len(n)), where=n > 0))
-            columns = [pa.array(np.round(x, 6), pa.float64(), mask=n == 0) for x in (*out, out[0] - out[1])]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), *columns], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return folded(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(scan, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    return df.withColumn("fold", F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 1).isin(*"13579bdf").cast("int"))
 
 
 #: Text of one block of documents, and of the corpus's share whose keys one task merges.
@@ -265,7 +150,8 @@ def totals(rows: DataFrame) -> DataFrame:
 
 
 def exact_losses(ids, before, of, words, pairs, inside: int, outside: int, vocabulary: int, sizes, mix: float = 0.4, extra: float = 0.5):
-    """Negative log probabilities, in nats, of each word by the target's and the background's model: Model on exact counts.
+    """Negative log probabilities, in nats, of each word by the target's and the background's model:
+    interpolated bigram models, smoothed alike.
 
     words: by word, its counts by group as a word and as a context; pairs: by pair. The background's counts are scaled to
     the target's number of words; the vocabulary is that of the corpus.
@@ -282,7 +168,8 @@ def exact_losses(ids, before, of, words, pairs, inside: int, outside: int, vocab
 
 
 def exact_scores(docs: DataFrame, found: DataFrame, vocabulary: int, sizes: list[int]) -> DataFrame:
-    """The columns of score(), by the corpus's counts of each block's keys."""
+    """doc_id, n_words, target_loss, background_loss and score, their difference a word (the lower, the more like the
+    target), by the corpus's counts of each block's keys."""
 
     def one(left, right):
         import pyarrow as pa
