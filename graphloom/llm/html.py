@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
+from itertools import accumulate
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +22,6 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAIN = {"main": 1, "article": 2}
 NAMES_OUT = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored promo promos promotion sidebar sidebars"
     " widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead footer foot cookie cookies consent gdpr notice notices"
@@ -28,162 +31,332 @@ NAMES_OUT = frozenset(
 NAMES_MAIN = frozenset("article content main post entry story body text".split())
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+#: Elements that hold the main text, and how much more than elsewhere a character weighs in them.
+REGIONS = {"main": 4, "article": 32}
+#: Elements that hold blocks; lists, tables and the like are seen through to the next of these.
+CONTAINERS = frozenset("article body div html main section".split())
+#: Elements, besides those with names, whose mark falls where they hold the page's text.
+WRAPPERS = frozenset("form header fieldset".split())
+#: What says of a name that the element has the thing beside or inside it, not that it is one.
+MODIFIERS = frozenset("has with without no is show hide enable".split())
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))|\b(hidden)\b")
 WORD = re.compile(r"[a-z]+")
 #: Names that run words together.
-JOINED = re.compile(r".*(?:nav|menu|sidebar|footer|comments?|cookies?|banner)|(?:advert|comment|promo|newsletter|sponsor).*")
+JOINED = re.compile(r"\w*(?:nav|menu|sidebar|footer|comments?|cookies?|banner)|(?:advert|comment|promo|newsletter|sponsor)\w*")
+
+
+class Line(NamedTuple):
+    """A block of a page: its text, characters of links in it, the element around it, and the innermost mark over it (0: none)."""
+
+    text: str
+    linked: int
+    node: int
+    mark: int
+
+
+class Page(NamedTuple):
+    """Lines in order. Elements are numbered as they open: parents, names and the last one inside each. Marks too: the mark
+    around each, whether it falls where it covers the page's text, and whether it lies in a main element."""
+
+    lines: list[Line]
+    parent: list[int]
+    name: list[str]
+    last: list[int]
+    marks: list[tuple[int, bool, bool]]
+
+
+def _tokens(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names the main text, and whether it names something beside it."""
+    main = out = False
+    for token in value.split():
+        parts = WORD.findall(token)
+        if parts and all(w in NAMES_MAIN for w in parts):
+            main = True
+        elif parts and parts[0] not in MODIFIERS:
+            out = out or any(w in NAMES_OUT or JOINED.fullmatch(w) for w in parts) or (parts[0] == "header" and len(parts) == 1)
+    return main, out
 
 
-def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, int]:
-    """Whether an element's text is left out, and whether it holds the main text (1) or an article (2), by its name and attributes."""
+def _mark(name: str, attributes: str, inside: bool) -> str:
+    """How an element is marked as beside the main text: "" not at all, "soft" by what may be wrong, or "hard"."""
     if name in LEFT_OUT or (name == "header" and not inside):
-        return True, 0
-    main = MAIN.get(name, 0)
+        return "soft" if name in WRAPPERS else "hard"
     if "=" not in attributes and "hidden" not in attributes:
-        return False, main
-    words: set[str] = set()
+        return ""
+    main = out = False
     for key, a, b, c, alone in ATTRIBUTE.findall(attributes):
         key, value = (key or alone).lower(), (a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True, 0
+            return "hard"
         if key == "role":
-            if value in ROLES_OUT:
-                return True, 0
-            main = max(main, MAIN.get(value, 0))
+            out, main = out or value in ROLES_OUT, main or value in REGIONS
         elif key in ("class", "id"):
-            words.update(WORD.findall(value))
-    if name in ("html", "body"):
-        return False, main
-    if words & NAMES_OUT or any(map(JOINED.fullmatch, words)):
-        return True, 0
-    if "header" in words and not inside and not words & NAMES_MAIN:
-        return True, 0
-    return False, 2 if name in ("div", "section") and "article" in words else main
+            m, o = _tokens(value)
+            main, out = main or m, out or (o and not (inside and value.strip() == "header"))
+    return "soft" if out and not main and name not in ("html", "body", *REGIONS) else ""
 
 
-def lines(page: str) -> list[tuple[str, bool, int, int, bool]]:
-    """The blocks of a page in order: text, left out, how far inside the main text, characters of links, a heading.
+def _tag_end(page: str, at: int, failed: list[list[int]]) -> int:
+    """Past the > that ends the tag at `at`, quoted ones aside; where that finds none, past the first > of any kind.
+
+    A search that runs to the page's end leaves the quotes that it met in `failed`: one that starts outside of them would
+    go the same way. There are three ways to be in or out of quotes, so few searches fail.
+    """
+    if not any(bisect_right(quotes, at) % 2 == 0 for quotes in failed if quotes[0] <= at):
+        quotes, p = [at, at], at
+        while found := STOP.search(page, p):
+            if found[0] == ">":
+                return found.end()
+            shut = page.find(found[0], found.end())
+            quotes += [found.start(), shut if shut >= 0 else len(page)]
+            if shut < 0:
+                break
+            p = shut + 1
+        failed.append(quotes)
+    return page.find(">", at) + 1
+
+
+def scan(page: str) -> Page:
+    """The blocks of a page, its elements and marks, in one pass.
 
     Text is taken between tags, character references decoded, white space as one space. Comments, declarations,
-    scripts, styles and the like give none. A tag that is never closed ends with the element around it.
+    scripts, styles and the like give none. A < that no > follows is text. A tag that is never closed ends with the
+    element around it.
     """
-    out: list[tuple[str, bool, int, int, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, left out, main: with what stands above
+    out = Page([], [0], [""], [0], [(0, False, False)])
+    stack: list[tuple[int, str, int, bool]] = [(0, "", 0, False)]  # element, name, mark, inside a main region
+    depth: Counter[str] = Counter()
     buffer: list[str] = []
-    linked, in_link, heading = 0, 0, False
+    failed: list[list[int]] = []
+    linked, in_link = 0, False
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                top = stack[-1] if stack else ("", False, 0)
-                out.append((text, top[1], top[2], min(linked, len(text)), heading))
+                out.lines.append(Line(text, min(linked, len(text)), stack[-1][0], stack[-1][2]))
             buffer.clear()
         linked = 0
 
-    at, end = 0, len(page)
+    def text(piece: str) -> None:
+        nonlocal linked
+        buffer.append(piece)
+        if in_link:
+            linked += len(piece.strip())
+
+    def leave() -> None:
+        node, name, _, _ = stack.pop()
+        out.last[node] = len(out.parent) - 1
+        depth[name] -= 1
+
+    at, end, final = 0, len(page), page.rfind(">")
     while at < end:
-        found = TAG.search(page, at)
-        stop = found.start() if found else end
-        if stop > at:
-            piece = page[at:stop]
-            buffer.append(piece)
-            if in_link:
-                linked += len(piece.strip())
-        if not found:
+        start = page.find("<", at)
+        if start < 0 or start > final:
+            text(page[at:])
             break
-        at = found.end()
-        name = found[2]
-        if name is None:
+        if start > at:
+            text(page[at:start])
+        closing = page.startswith("/", start + 1)
+        found = NAME.match(page, start + 1 + closing)
+        if not found:
+            if page.startswith("<!--", start):
+                shut = page.find("-->", start + 4)
+                at = shut + 3 if shut >= 0 else end
+            elif page.startswith("<![CDATA[", start) and (shut := page.find("]]>", start)) >= 0:
+                at = shut + 3
+            elif page[start + 1 : start + 2] in ("!", "?", "/"):
+                at = page.find(">", start) + 1
+            else:
+                text("<")
+                at = start + 1
             continue
-        name, closing = name.lower(), bool(found[1])
+        name = found[0].lower()
+        at = _tag_end(page, found.end(), failed)
+        rest = page[found.end() : at - 1]
         if name in RAW:
-            if not closing and not found[3].endswith("/"):
-                shut = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = shut.end() if shut else end
+            if not closing and not rest.endswith("/"):
+                shut = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+                at = page.find(">", shut.end()) + 1 if shut and shut.end() <= final else end
             buffer.append(" ")
             continue
         if name == "a":
-            in_link = 0 if closing else 1
+            in_link = not closing
         if name == "br":
             buffer.append(" ")
             continue
         block = name in BLOCKS
         if block:
             flush()
-            heading = name[0] == "h" and name[1:].isdigit() and not closing
         if name in VOID:
             continue
         if closing:
-            names = [x[0] for x in stack]
-            if name in names:
-                while stack and stack[-1][0] != name:
-                    stack.pop()
-                stack.pop()
+            if depth[name]:
+                if not block:
+                    flush()
+                while stack[-1][1] != name:
+                    leave()
+                leave()
             continue
-        if block and stack and stack[-1][0] == "p":
-            stack.pop()
-        above = stack[-1] if stack else ("", False, 0)
-        if name in ("li", "dt", "dd", "tr", "td", "th") and above[0] == name:
-            stack.pop()
-            above = stack[-1] if stack else ("", False, 0)
-        if block or "=" in found[3] or name in LEFT_OUT:
-            left_out, main = _marks(name, found[3], above[2] > 0)
-            if block or left_out:
+        if block and stack[-1][1] == "p":
+            leave()
+        if name in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][1] == name:
+            leave()
+        if block or "=" in rest or name in LEFT_OUT:
+            _, _, above, inside = stack[-1]
+            kind = _mark(name, rest, inside)
+            if block or kind:
                 if not block:
                     flush()
-                stack.append((name, above[1] or left_out, max(above[2], main)))
+                if kind:
+                    out.marks.append((above, kind == "soft", inside))
+                    above = len(out.marks) - 1
+                stack.append((len(out.parent), name, above, inside or name in REGIONS))
+                out.parent.append(stack[-2][0])
+                out.name.append(name)
+                out.last.append(0)
+                depth[name] += 1
     flush()
+    while len(stack) > 1:
+        leave()
+    out.last[0] = len(out.parent) - 1
     return out
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 86, share: float = 0.2) -> str:
-    """The blocks between surge and dive of the line-block distribution, joined by newlines.
+def _left_out(page: Page, plain: list[int], region: list[int]) -> list[bool]:
+    """Whether each mark holds. Where no main element has text of its own and less than a tenth of the page's is left, marks
+    fall that cover over half of it, or of that in main elements: no name can empty a page."""
+    hard = [False]
+    for above, soft, _ in page.marks[1:]:
+        hard.append(hard[above] or not soft)
+    totals, central = [0] * len(page.marks), [0] * len(page.marks)
+    for line, n in zip(page.lines, plain, strict=True):
+        if not hard[line.mark]:
+            totals[line.mark] += n
+            central[line.mark] += n if region[line.node] > 1 else 0
+    whole, middle, free, inside = sum(totals), sum(central), totals[0], central[0]
+    own, own_central = list(totals), list(central)
+    for m in range(len(totals) - 1, 0, -1):
+        totals[page.marks[m][0]] += totals[m]
+        central[page.marks[m][0]] += central[m]
+    sums, most = (central, middle) if middle else (totals, whole)
+    held = [False]
+    for m, (above, _, _) in enumerate(page.marks[1:], 1):  # a mark comes after those around it, and one alone at most covers over half
+        falls = not hard[m] and not held[above] and 2 * sums[m] > most and not inside and 10 * free < whole
+        held.append(not falls)
+        if falls:
+            free, inside = free + own[m], inside + own_central[m]
+    for m, (above, _, _) in enumerate(page.marks[1:], 1):
+        held[m] = held[m] or held[above]
+    return held
 
-    A line's weight is its text outside links; lines that the markup leaves out weigh nothing, and where an article, or
-    else a main element, has text, so do lines outside it. The sum over `window` lines surges where it passes the threshold and dives where
-    it falls to 0; between them all weighted lines are kept. With a main element every text surges. Without one the
-    sum must pass `surge` characters (or the page's largest sum, if that is less), lines that lead up to the surge
-    by links alone are not kept, and runs with less than `share` of the largest run's text are not either.
-    """
-    found = lines(page or "")
-    marked = max((main for _, out, main, _, _ in found if not out), default=0)
-    weights = []
-    for text, out, main, linked, _ in found:
-        outside = out or main < marked
-        weights.append(0 if outside else len(text) if marked else max(0, len(text) - linked))
+
+def _runs(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """Where the sum over `window` lines surges and dives: ranges of lines that begin and end with one that weighs something."""
     n = len(weights)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
-    least = 1 if marked else min(surge, max(sums, default=0))
-    runs, i = [], 0
+    upto = [0, *accumulate(weights)]
+    sums = [upto[min(i + window, n)] - upto[i] for i in range(n)]
+    least, out, i = max(1, min(surge, max(sums, default=0))), [], 0
     while i < n:
-        if sums[i] >= max(1, least):
-            j = i
-            while j < n and sums[j] > 0:
-                j += 1
-            runs.append((i, j))
-            i = j
-        else:
+        if sums[i] < least:
             i += 1
-    sizes = [sum(weights[a:b]) for a, b in runs]
-    if not marked and sizes:
-        runs = [r for r, s in zip(runs, sizes, strict=True) if s >= share * max(sizes)]
-    return "\n".join(found[k][0] for a, b in runs for k in range(a, b) if weights[k])
+            continue
+        j = i
+        while j < n and sums[j] > 0:
+            j += 1
+        begin = next(k for k in range(i, n) if weights[k])
+        stop = next(k for k in range(j - 1, i - 1, -1) if weights[k])
+        out.append((begin, stop + 1))
+        i = j
+    return out
+
+
+def main_text(page: str | None, window: int = 3, surge: int = 86, density: float = 0.5) -> str:
+    """The blocks between surge and dive of the line-block distribution, joined by newlines.
+
+    A line weighs its characters outside links, and nothing where links are over `density` of it or where the markup
+    marks it as beside the text: by its element (nav, footer, form and so on), or by a name, role or style. Names are no more
+    than a weight: text in a main element counts 4 times, in an article 32 times, and a mark falls that covers the page's text.
+
+    The sum over `window` lines surges where it passes `surge` (or the page's largest sum, if less), and dives where it
+    comes to 0. The heaviest run of lines between the two says where the main text is: in the smallest container that
+    holds that run, or the article around it, or the article or main element inside it that has most of its weight.
+    All lines there that weigh something are kept, surge or not, and lines of links between those of a run. Other runs
+    stay where they lie beside that container in the same one and no article or main element bounds it.
+    """
+    found = scan(page or "")
+    lines = found.lines
+    plain = [0 if x.linked > density * len(x.text) else len(x.text) - x.linked for x in lines]
+    region = [1] * len(found.parent)
+    for k in range(1, len(region)):
+        region[k] = REGIONS.get(found.name[k], region[found.parent[k]])
+    held = _left_out(found, plain, region)
+    weights = [0 if held[x.mark] else n * region[x.node] for x, n in zip(lines, plain, strict=True)]
+    runs = _runs(weights, window, surge)
+    if not runs:
+        return ""
+    within = lambda node, k: k <= node <= found.last[k]  # noqa: E731  elements are numbered as they open
+    first, stop = max(runs, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))
+    nodes = [lines[k].node for k in range(first, stop) if weights[k]]
+    home, furthest = min(nodes), max(nodes)
+    while home and not (found.name[home] in CONTAINERS and within(furthest, home)):
+        home = found.parent[home]
+    above, k = home, home
+    while k:
+        if found.name[k] == "article":
+            above = k
+        k = found.parent[k]
+    home = above
+    while True:  # down to the article or main element with most of the weight
+        inner = {k for k in range(home + 1, found.last[home] + 1) if found.name[k] in REGIONS}
+        share: Counter[int] = Counter()
+        whole = 0
+        for x, w in zip(lines, weights, strict=True):
+            if w and within(x.node, home):
+                whole += w
+                k = x.node
+                if inner and region[k] > 1:
+                    while k != home and k not in inner:
+                        k = found.parent[k]
+                    if k != home:
+                        share[k] += w
+        best = max(share, key=share.__getitem__, default=0)
+        if not best or 2 * share[best] < whole or found.name[home] == "article":
+            break
+        home = best
+    beside = home
+    if region[home] == 1 and home:
+        beside = found.parent[home]
+        while beside and found.name[beside] not in CONTAINERS:
+            beside = found.parent[beside]
+    keep = set()
+    for a, b in runs:
+        heavy = sum(weights[a:b]) >= surge and all(within(lines[k].node, beside) for k in range(a, b) if weights[k])
+        around = beside if heavy else home
+        keep.update(k for k in range(a, b) if not held[lines[k].mark] and within(lines[k].node, around))
+    keep.update(k for k, x in enumerate(lines) if weights[k] and within(x.node, home))
+    return "\n".join(lines[k].text for k in sorted(keep))
 
 
 def extract(df: DataFrame, page: str = "html") -> DataFrame:
-    """Adds text and n_chars (code points) to df. A page without main text, or a null one, gives an empty text."""
+    """df with text and n_chars (code points) in place of the page and of columns of those two names; all others stay.
+
+    The whole page is read, in time proportional to its length. A page without main text, an empty or a null one gives an
+    empty text and 0; repeated rows are treated alike; an empty table gives no rows.
+    """
     kept = [c for c in df.columns if c not in ("text", "n_chars", page)]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(page).alias("html"))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{page}`").alias("text"), F.lit(0).cast("long").alias("n_chars"))
 
-    def scan(batches):
+    def run(batches):
         import pyarrow as pa
 
-        for columns in batch_arrays(batches, *kept, "html"):
-            texts = [main_text(x) for x in columns[-1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
+        for batch in batches:
+            for columns in batch_arrays([batch.rename_columns([str(k) for k in range(batch.num_columns)])], *map(str, range(batch.num_columns))):
+                texts = [main_text(x) for x in columns[-2].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["text string", "n_chars long"])
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(run, rows.schema)
