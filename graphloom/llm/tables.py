@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 #: Rows that go to Python workers at a time while a table is written: texts are long.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 4000
 _registered: set[str] = set()
 
 

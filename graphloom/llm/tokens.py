@@ -12,7 +12,7 @@ from graphloom.llm.text import coded, release
 
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words whose ids one Python worker keeps; beyond it the memory starts afresh, results are the same.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 _ENDS = frozenset(",.")
 
 
