@@ -19,7 +19,7 @@ def token_counts(df: DataFrame, text: str = "text", path: str | None = None) ->
     def count(batches):
         import pyarrow as pa
 
-        for (texts,) in batch_arrays(batches, "text", part_bytes=4 << 20):
+        for (texts,) in batch_arrays(batches, "text", part_bytes=8 << 20):
             offsets, _ = encoder(source.value, None).encode(texts)
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets), pa.int64())], names=["n_tokens"])
 

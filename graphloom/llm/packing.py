@@ -27,7 +27,7 @@ def pieces(df: DataFrame, capacity: int = 2048, path: str | None = None, end: in
     def cut(batches):
         import pyarrow as pa
 
-        for keys, texts in batch_arrays(batches, "doc_id", "text", part_bytes=4 << 20):
+        for keys, texts in batch_arrays(batches, "doc_id", "text", part_bytes=8 << 20):
             offsets, ids = encoder(source.value, end).encode(texts)
             sizes = np.diff(offsets)
             n = -(-sizes // capacity)
@@ -106,13 +106,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(cut: DataFrame, capacity: int = 2048, part_rows: int | None = None) -> DataFrame:
     """Adds sequence_id and offset (gapless from 0) to a table of pieces with doc_id, piece and length (1 to capacity).
 
-    Equal lengths are ranked in parts of some `part_rows` (2000, or a 200,000th of all pieces) by a hash of doc_id and piece,
+    Equal lengths are ranked in parts of some `part_rows` (500, or a 200,000th of all pieces) by a hash of doc_id and piece,
     so that a hot length, as that of full pieces is, is split. Only counts by length and part reach the driver: one row for
     each length and for each `part_rows` pieces, some 200,000 at most. Rows that are alike in doc_id, piece and length are interchangeable. An empty table gives an
     empty result.
     """
     lengths = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    part_rows = part_rows or max(2000, sum(lengths.values()) // 200_000)
+    part_rows = part_rows or max(500, sum(lengths.values()) // 200_000)
     if max(lengths.values(), default=0) > part_rows:
         # at most `capacity` rows
         deal = cut.sparkSession.createDataFrame([(k, 1 + n // part_rows) for k, n in lengths.items()], "length long, _parts long")

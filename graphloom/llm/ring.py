@@ -53,7 +53,7 @@ def shard(df: DataFrame, key: Column, shards: int, vnodes: int = 64, slack: floa
 
     A row's place on the ring is a hash of its key alone. Each shard holds at most its capacity: an equal share
     (differing by one row at most) with slack 0, else (1 + slack) times that share. What overflows continues clockwise.
-    Rows of an arc are ranked in parts of some `part_rows` (2000, or a 200,000th of all rows), dealt by a hash of all columns, so that neither a hot arc nor
+    Rows of an arc are ranked in parts of some `part_rows` (500, or a 200,000th of all rows), dealt by a hash of all columns, so that neither a hot arc nor
     a repeated key is one task's; rows equal in all columns share a part. What reaches the driver are the row counts of
     the shards * vnodes arcs and of their parts, one more for each `part_rows` rows.
 
@@ -74,7 +74,7 @@ def shard(df: DataFrame, key: Column, shards: int, vnodes: int = 64, slack: floa
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0)).alias("row"), F.xxhash64(key).alias("at"), F.hash(*told).alias("tie")).withColumn("arc", arc_of("at"))
     arcs = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = df.sparkSession
-    part_rows = part_rows or max(2000, sum(arcs.values()) // 200_000)
+    part_rows = part_rows or max(500, sum(arcs.values()) // 200_000)
     if max(arcs.values(), default=0) > part_rows:
         # one row an arc
         deal = spark.createDataFrame([(a, 1 + n // part_rows) for a, n in arcs.items()], "arc int, parts int")
