@@ -64,8 +64,11 @@ TARGETS = MINTABLE | ENUMERATED
 FRESHNESS = ("SUPERSEDES", "CONTRADICTS", "NEEDS_UPDATE")
 #: Labels whose names are compared without case.
 CASELESS = frozenset("Pattern Technology Client Risk Service Integration".split())
-#: Properties that the system writes and inference may not.
-SYSTEM = frozenset("corpus created updated embedding name_norm description_fragments".split())
+# Properties that the system writes and inference may not.
+SYSTEM = frozenset(
+    "path name id anchor level file_id ordinal corpus updated created registered_at root content_profile embedding name_norm description_fragments "
+    "summary key_points summary_generated_at summary_confidence entities_mentioned hash size schema_version engine_version backend_name initialised_at start end".split()
+)
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 

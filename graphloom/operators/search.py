@@ -79,7 +79,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, k: int, threshold: float |
 
     def best(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(there):
-            return pd.DataFrame({"left_pk": [], "pk": [], "score": []})
+            return pd.DataFrame()  # columns without rows fail on their way to Arrow
         a, b = (np.array(x.tolist(), dtype=np.float64) for x in (asked["q"], there["embedding"]))
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
         keys, out = there["pk"].to_numpy(), []
@@ -177,6 +177,32 @@ def fuse(vector: DataFrame, fulltext: DataFrame, limit: int, rrf_k: int = 60, ve
     return found.orderBy(F.desc("score"), "seen").limit(limit).select("pk", "score", "seen")
 
 
+def matched_each(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """left_pk, pk, score, rank: the k best of texts (pk, text) by BM25 over any word of each of queries (left_pk, text); ties by pk.
+
+    All queries at once: texts are cut to rows of word, text and count for the words that some query has, and meet the
+    queries by word.
+    """
+    asked = queries.select("left_pk", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
+    cut = texts.where(F.col("text").isNotNull()).select("pk", tokens(F.col("text")).alias("t")).select("pk", F.size("t").alias("n"), "t")
+    stats = cut.agg(F.count(F.lit(1)).alias("_docs"), F.avg("n").alias("_mean"))
+    held = cut.select("pk", "n", F.explode("t").alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("w", "pk", "n").agg(F.count(F.lit(1)).alias("c"))
+    rare = held.groupBy("w").agg(F.count(F.lit(1)).alias("d"))
+    weighed = held.join(rare, "w").crossJoin(F.broadcast(stats))  # one row of corpus statistics
+    idf = F.log(1 + (F.col("_docs") - F.col("d") + 0.5) / (F.col("d") + 0.5))
+    weighed = weighed.select("w", "pk", (idf * F.col("c") * (K1 + 1) / (F.col("c") + K1 * (1 - B + B * F.col("n") / F.col("_mean")))).alias("s"))
+    found = asked.join(weighed, "w").groupBy("left_pk", "pk").agg(F.sum("s").alias("score"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("left_pk").orderBy(F.desc("score"), "pk"))).where(F.col("rank") <= k)
+
+
+def fuse_each(vector: DataFrame, fulltext: DataFrame, limit: int, rrf_k: int = 60) -> DataFrame:
+    """left_pk, pk, score, rank: fuse() of two rankings (left_pk, pk, rank) for each left_pk."""
+    legs = [df.select("left_pk", "pk", (F.lit(1.0) / (rrf_k + F.col("rank"))).alias("s"), (F.col("rank") + at).cast("long").alias("seen")) for df, at in ((vector, 0), (fulltext, 1_000_000_000))]
+    found = legs[0].unionByName(legs[1]).groupBy("left_pk", "pk").agg(F.sum("s").alias("score"), F.min("seen").alias("seen"))
+    rank = F.row_number().over(Window.partitionBy("left_pk").orderBy(F.desc("score"), "seen"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("left_pk", "pk", "score", "rank")
+
+
 def hybrid_search(store, query: str, kind: str = "File", limit: int = 20, embed: Callable[[str], list[float]] | None = None, config: SearchConfig | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """pk, score of one label's nodes: both rankings fused, or one of them. Labels without a text property give nothing.
 

@@ -44,6 +44,16 @@ def merged(existing: DataFrame, updates: DataFrame, keys: list[str], order: str
     return joined.select(*[F.coalesce(f"_u_{c}", c).alias(c) if c in names else F.col(c) for c in existing.columns])
 
 
+def shared_folder(spark: SparkSession) -> None:
+    """Let checkpoints go to the folder that the session names; only in local mode is a temporary one made where none is."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if found is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='graphloom-')}")
+
+
 class GraphStore:
     def __init__(self, spark: SparkSession, nodes: dict[str, DataFrame] | None = None, edges: DataFrame | None = None):
         self.spark = spark
@@ -283,12 +293,7 @@ class GraphStore:
     def settle(self, *labels: str) -> None:
         """Write the edges and the nodes of some labels (all, unless named) to the shared checkpoint folder, and go on from
         there: plans stay short, and a lost executor costs no rework of earlier phases."""
-        context = self.spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            found = self.spark.conf.get("spark.checkpoint.dir", None)
-            if found is None and not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='graphloom-')}")
+        shared_folder(self.spark)
         for label in labels or list(self._nodes):
             if label in self._nodes:
                 self._nodes[label] = self._nodes[label].checkpoint()

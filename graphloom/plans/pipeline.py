@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -14,8 +15,8 @@ from pyspark.sql.window import Window
 from graphloom.functions import text as T
 from graphloom.ontology import MINTABLE, PRIMARY_KEY, Ontology
 from graphloom.operators import resolve
-from graphloom.operators.store import GraphStore
-from graphloom.schema import EDGE, conform
+from graphloom.operators.store import GraphStore, shared_folder
+from graphloom.schema import EDGE, TYPES, columns, conform
 from graphloom.sources.corpus import CorpusConfig, by_format, scan
 
 
@@ -27,6 +28,15 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class Relater(Provider, Protocol):
+    """A provider that also names what a text relates to."""
+
+    def relate(self, text: str, context: str, previous: list[dict]) -> str:
+        """JSON with "relationships": a list of type, target_type, target_name, confidence, reason and properties. `previous`
+        holds those of earlier rounds on the same text."""
+        ...
+
+
 @dataclass
 class Offline:
     """A provider without a network: the first words of a text, and hashed bags of words."""
@@ -163,33 +173,125 @@ def derive_files(store: GraphStore, provider: Provider) -> None:
 # relating
 
 
-def relate(store: GraphStore, units: DataFrame, ontology: Ontology, inferred: DataFrame | None = None) -> DataFrame:
-    """Edges from units (label, pk, path, suffix, text) to what their texts refer to, replacing those inferred before.
+def _marked(kind: list[Column], rule: Column) -> Callable[[Column], Column]:
+    return lambda x: F.struct(*kind, x.alias("target_name"), rule)
+
+
+def lexical_rows(units: DataFrame, ontology: Ontology, patterns: list[dict] | None = None) -> DataFrame:
+    """src_label, src_pk, pos, edge_type, target_type, target_name and rule of the references in units (label, pk, path,
+    suffix, text): the format's own, then those of a corpus's patterns.
 
-    Lexical references come from the text; `inferred` adds rows of src_label, src_pk, edge_type, target_type,
-    target_name, confidence and reason (as JSON texts) from a model. Targets that resolve to a File or Section make an
-    edge; other targets become nodes. Units get a marker, also those without edges. Returns all rows with drop_reason.
+    A pattern has regex, edge_type, target_type, and may have capture (a group, 0 unless given) and formats (suffixes
+    without a dot, all unless given). Of equal references of a unit the first stands; aliases are resolved.
     """
-    found = units.select(F.col("label").alias("src_label"), F.col("pk").alias("src_pk"), "path", F.posexplode(T.references(F.col("text"), F.col("path"), F.col("suffix"))).alias("pos", "r")).select("src_label", "src_pk", "pos", "r.*")
-    rows = found.select("src_label", "src_pk", "edge_type", "target_type", "target_name", F.lit(1.0).alias("confidence"), F.concat(F.lit("lexical:"), "rule").alias("reason"), F.lit("lexical").alias("method"), "pos")
+    found = T.references(F.col("text"), F.col("path"), F.col("suffix"))
+    for p in patterns or []:
+        kind = [F.lit(v).alias(n) for n, v in (("edge_type", p["edge_type"]), ("target_type", p["target_type"]))]
+        rule = F.lit(f"pattern:{p['regex']}").alias("rule")
+        values = T.custom_references(F.coalesce("text", F.lit("")), p["regex"], int(p.get("capture", 0)))
+        if p.get("formats"):
+            values = F.when(F.ltrim(F.coalesce("suffix", F.lit("")), F.lit(".")).isin(*p["formats"]), values).otherwise(F.array().cast("array<string>"))
+        found = F.concat(found, F.transform(values, _marked(kind, rule)))
+    rows = units.select(F.col("label").alias("src_label"), F.col("pk").alias("src_pk"), F.posexplode(found).alias("pos", "r")).select("src_label", "src_pk", "pos", "r.*")
+    rows = rows.withColumn("edge_type", ontology.resolved(F.col("edge_type"), edges=True)).withColumn("target_type", ontology.resolved(F.col("target_type")))
+    return rows.groupBy("src_label", "src_pk", "edge_type", "target_type", "target_name").agg(F.min(F.struct("pos", "rule")).alias("f")).select("src_label", "src_pk", "f.pos", "edge_type", "target_type", "target_name", "f.rule")
+
+
+def inferred_rows(units: DataFrame, provider: Relater, ontology: Ontology, rounds: int = 0) -> DataFrame:
+    """label, pk, rows and error: what the provider finds in units (label, pk, text, context), and in `rounds` further calls
+    that look for what was missed. A unit whose first call fails has an error and no rows."""
+
+    @F.pandas_udf(f"struct<rows: {resolve.ROWS}, error: string>")
+    def ask(texts: pd.Series, contexts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, context in zip(texts, contexts, strict=True):
+            try:
+                out.append((resolve.gleaned(lambda known, t=text, c=context: retried(lambda: provider.relate(t or "", c or "", known)), ontology, rounds), None))
+            except Exception as e:  # noqa: BLE001  reported in the row
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["rows", "error"])
+
+    return units.select("label", "pk", ask("text", "context").alias("a")).select("label", "pk", "a.rows", "a.error")
+
+
+def _typed(label: str, name: str) -> Column:
+    """One property of a map of texts in its column's type; several texts of a plain property are joined by a comma."""
+    given, kind = F.try_element_at("properties", F.lit(name)), TYPES.get(name, "string")
+    if kind == "array<string>":
+        return given
+    text = F.array_join(given, ", ")
+    return text if kind == "string" else text.try_cast(kind)
+
+
+def resolved(store: GraphStore, rows: DataFrame, ontology: Ontology, provider: Provider | None = None, limits: resolve.Thresholds | None = None) -> DataFrame:
+    """Rows of references with drop_reason, and for those that stand pk, rung or rule, minted and name_norm of their target.
+
+    Rows: src_label, src_pk, corpus, edge_type, target_type, target_name, confidence, method, pos. Files and sections are
+    looked up and never made; entities go through the cascade, with vectors of their names if there is a provider.
+    """
+    limits = limits or resolve.Thresholds()
+    order = F.concat_ws("\0", F.col("src_pk"), F.col("src_label"), F.when(F.col("method") == "lexical", "0").otherwise("1"), F.lpad(F.col("pos").cast("string"), 9, "0"))
+    rows = resolve.gated(resolve.validated(rows, ontology), ontology, limits.confidence).withColumn("seq", order).checkpoint()  # read by every ladder below
+    live = rows.where("drop_reason IS NULL")
+    files = resolve.resolve_files(live.where("target_type = 'File'").select(F.col("seq").alias("ref"), F.col("target_name").alias("target")), store.nodes("File").select("path", "name", "hash"))
+    parts = resolve.resolve_sections(live.where("target_type = 'Section'").select(F.col("seq").alias("ref"), F.col("target_name").alias("target")), store.nodes("Section").select("id", "anchor", "title"))
+    known = files.unionByName(parts).select(F.col("ref").alias("seq"), "pk", F.col("rung").alias("rule"), F.lit(False).alias("minted"), F.lit(None).cast("string").alias("name_norm"), F.lit(None).cast("array<float>").alias("vector"))
+    named = live.where(F.col("target_type").isin(*sorted(MINTABLE))).select("corpus", F.col("target_type").alias("label"), F.col("target_name").alias("name"), "seq")
+    met = sorted(r["label"] for r in named.select("label").distinct().collect())  # as many as the ontology has
+    if met:
+        entities = [store.nodes(x).select("corpus", F.lit(x).alias("label"), F.col(PRIMARY_KEY[x]).alias("pk"), F.col(PRIMARY_KEY[x]).alias("name"), "embedding") for x in met]
+        if provider is None:
+            mentions = named.withColumn("embedding", F.lit(None).cast("array<float>"))
+        else:
+            mentions = named.join(embedded(named.select("name").distinct(), "name", provider), "name")
+        out = resolve.cascade(mentions, reduce(DataFrame.unionByName, entities), limits).join(mentions.select("seq", F.col("embedding").alias("vector")), "seq")
+        known = known.unionByName(out.select("seq", "pk", "rule", "minted", "name_norm", "vector"))
+    rows = rows.join(known, "seq", "left")
+    owned = F.col("target_type").isin("File", "Section")
+    why = F.when(F.col("pk").isNull(), "target is unknown").when(owned & (F.col("pk") == F.col("src_pk")) & (F.col("target_type") == F.col("src_label")), "target is the source")
+    return resolve.covered(rows.withColumn("drop_reason", F.coalesce("drop_reason", why)))
+
+
+def relate(store: GraphStore, units: DataFrame, ontology: Ontology, inferred: DataFrame | None = None, provider: Provider | None = None, patterns: list[dict] | None = None, limits: resolve.Thresholds | None = None) -> DataFrame:
+    """Edges from units (label, pk, path, suffix, corpus, text) to what their texts refer to, replacing those inferred before.
+
+    Lexical references come from the text; `inferred` adds what a model found: label, pk, rows and error, as inferred_rows()
+    gives them. Units with an error keep their edges and get no marker; all others get one, also without edges. Targets that
+    are files or sections must be known; entities are matched or minted. A minted entity gets its normalised name, vector
+    and properties; a matched one the properties too, but its description as a fragment. Of several values of a property
+    the last stands. Gives all rows with drop_reason.
+    """
+    shared_folder(store.spark)
+    if inferred is not None:
+        inferred = inferred.checkpoint()  # a model is asked once
+        units = units.join(inferred.where("error IS NOT NULL").select("label", "pk"), ["label", "pk"], "left_anti")
+    none = F.create_map().cast("map<string, array<string>>")
+    rows = lexical_rows(units, ontology, patterns).select("src_label", "src_pk", "edge_type", "target_type", "target_name", F.lit(1.0).alias("confidence"), F.concat(F.lit("lexical:"), "rule").alias("reason"), F.lit("lexical").alias("method"), "pos", none.alias("properties"))
     if inferred is not None:
-        model = inferred.select("src_label", "src_pk", "edge_type", "target_type", "target_name", resolve.confidence(F.col("confidence")).alias("confidence"), resolve.reason(F.col("reason")).alias("reason"), F.lit("llm").alias("method"), F.col("pos"))
+        model = inferred.where("error IS NULL").select(F.col("label").alias("src_label"), F.col("pk").alias("src_pk"), F.posexplode("rows").alias("pos", "r")).select("src_label", "src_pk", "pos", "r.*")
+        model = model.withColumn("properties", resolve.whitelisted(F.col("properties"), ontology.resolved(F.col("target_type")), ontology))
+        model = model.withColumn("confidence", resolve.confidence(F.col("confidence"))).withColumn("reason", resolve.reason(F.col("reason"))).withColumn("method", F.lit("llm"))
         rows = rows.unionByName(model)
-    rows = resolve.gated(resolve.validated(rows, ontology), ontology).withColumn("ref", F.xxhash64("src_label", "src_pk", "method", "pos"))
+    rows = rows.join(units.select(F.col("label").alias("src_label"), F.col("pk").alias("src_pk"), "corpus"), ["src_label", "src_pk"])
+    rows = resolved(store, rows, ontology, provider, limits).checkpoint()  # read once for every label below
     live = rows.where("drop_reason IS NULL")
-    files = resolve.resolve_files(live.where("target_type = 'File'").select("ref", F.col("target_name").alias("target")), store.nodes("File").select("path", "name", "hash"))
-    parts = resolve.resolve_sections(live.where("target_type = 'Section'").select("ref", F.col("target_name").alias("target")), store.nodes("Section").select("id", "anchor", "title"))
-    entities = live.where(~F.col("target_type").isin("File", "Section")).select("ref", F.trim("target_name").alias("pk"), F.lit("minted").alias("rung"))
-    solved = files.unionByName(parts).unionByName(entities)
-    rows = rows.join(solved, "ref", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("pk").isNull(), "target is unknown").when((F.col("pk") == F.col("src_pk")) & (F.col("target_type") == F.col("src_label")), "target is the source")))
-    kept = rows.where("drop_reason IS NULL").select("src_label", "src_pk", "edge_type", F.col("target_type").alias("dst_label"), F.col("pk").alias("dst_pk"), F.lit("inferred").alias("origin"), "confidence", "reason", "method", "pos")
-    kept = resolve.first_of_triples(kept).drop("pos").checkpoint()  # read once for every label below
+    kept = live.select("src_label", "src_pk", "edge_type", F.col("target_type").alias("dst_label"), F.col("pk").alias("dst_pk"), F.lit("inferred").alias("origin"), "confidence", "reason", "method", "pos")
     keys = units.select("label", "pk").distinct()
     store.delete_edges(keys, origin="inferred")
-    met = {r["dst_label"] for r in kept.select("dst_label").distinct().collect()}
-    for label in sorted((set(ontology.nodes) - {"File", "Section", "Corpus", "Meta"}) & met):
-        store.upsert_nodes(label, kept.where(F.col("dst_label") == label).select(F.col("dst_pk").alias(PRIMARY_KEY[label])).distinct())
-    store.upsert_edges(kept)
+    met = {r["target_type"] for r in live.select("target_type").distinct().collect()}
+    for label in sorted(MINTABLE & met):
+        key = PRIMARY_KEY[label]
+        names = [x for x in ontology.content_properties(label) if x != key and x in columns(label)]
+        mine = live.where(F.col("target_type") == label)
+        values = {x: _typed(label, x) for x in names}
+        if "description" in values:
+            values["description"] = F.when(F.col("minted"), values["description"])
+        new = mine.select(F.col("pk").alias(key), "corpus", "seq", F.when(F.col("minted"), F.col("name_norm")).alias("name_norm"), F.when(F.col("minted"), F.col("vector")).alias("embedding"), *[c.alias(x) for x, c in values.items()])
+        store.upsert_nodes(label, new, order="seq")
+        if "description" in values:
+            pieces = mine.where("NOT minted").select(F.lit(label).alias("label"), "pk", _typed(label, "description").alias("fragment"), F.col("seq").alias("pos"))
+            store.append_fragments(pieces.where("fragment <> ''"))
+    store.upsert_edges(resolve.first_of_triples(kept).drop("pos"))
     for label, key in (("File", "path"), ("Section", "id")):
         store.upsert_nodes(label, keys.where(F.col("label") == label).select(F.col("pk").alias(key)).withColumn("inferred_at", F.current_timestamp()))
     return rows
@@ -230,23 +332,25 @@ class Result:
 class Indexer:
     """Keeps a store in step with a corpus: whole at first, then by differences of digests."""
 
-    def __init__(self, store: GraphStore, config: CorpusConfig, provider: Provider | None = None, ontology: Ontology | None = None):
-        self.store, self.config = store, config
+    def __init__(self, store: GraphStore, config: CorpusConfig, provider: Provider | None = None, ontology: Ontology | None = None, gleaning_rounds: int = 0):
+        self.store, self.config, self.gleaning_rounds = store, config, gleaning_rounds
         self.provider = provider or Offline()
         self.ontology = ontology or Ontology(node_aliases=config.node_aliases)
 
-    def _units(self, files: DataFrame, parts: DataFrame | None) -> DataFrame:
-        whole = files.select(F.lit("File").alias("label"), F.col("path").alias("pk"), "path", F.col("type").alias("suffix"), "text")
-        if parts is None:
-            return whole
-        return parts.select(F.lit("Section").alias("label"), F.col("id").alias("pk"), "path", F.lit(".md").alias("suffix"), F.col("body").alias("text"))
+    def _relate(self, units: DataFrame) -> DataFrame:
+        """Relate units (label, pk, path, suffix, corpus, title, text), by the model too if the provider can."""
+        inferred = None
+        if hasattr(self.provider, "relate"):
+            context = resolve.contexts(self.store, units.drop("text", "suffix"))
+            inferred = inferred_rows(units.join(context, ["label", "pk"]), self.provider, self.ontology, self.gleaning_rounds)
+        return relate(self.store, units.drop("title"), self.ontology, inferred, self.provider if inferred is not None else None, self.config.patterns)
 
     def index(self, files: DataFrame) -> None:
         """Nodes, structural edges, summaries, vectors and references of files (as scan() gives them)."""
         store, c = self.store, self.config
         split = c.granularity == "section"
         marked, others = by_format(files) if split else (files.limit(0), files)
-        whole = others.select(F.lit("File").alias("label"), F.col("path").alias("pk"), "path", F.col("type").alias("suffix"), "text")
+        whole = others.select(F.lit("File").alias("label"), F.col("path").alias("pk"), "path", F.col("type").alias("suffix"), "corpus", F.col("name").alias("title"), "text")
         nodes = files.select("path", "name", "type", "hash", "size", "corpus").withColumn("updated", F.current_timestamp())
         store.upsert_nodes("File", nodes)
         store.settle("File")
@@ -273,12 +377,13 @@ class Indexer:
             roll_up(store, parts.select("id", "body"), self.provider)
             derive_files(store, self.provider)
             store.settle("File", "Section")
-            units = units.unionByName(self._units(marked, parts.join(due.select("id"), "id", "left_semi")))
-        relate(store, units, self.ontology)
+            new = parts.join(due.select("id"), "id", "left_semi")
+            units = units.unionByName(new.select(F.lit("Section").alias("label"), F.col("id").alias("pk"), "path", F.lit(".md").alias("suffix"), "corpus", "title", F.col("body").alias("text")))
+        self._relate(units)
         store.settle()
         for label in sorted(MINTABLE & set(store._nodes) - {"Risk"}):
             due = resolve.merge_due(store).where(F.col("label") == label)
-            store.upsert_nodes(label, due.select(F.col("pk").alias(PRIMARY_KEY[label]), "description"))
+            store.upsert_nodes(label, due.select(F.col("pk").alias(PRIMARY_KEY[label]), "description", "description_fragments"))
         store.close_corpus(c.name)
         store.settle()
 

@@ -5,6 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.ontology import Ontology
+from graphloom.operators import resolve
 from graphloom.operators.store import GraphStore
 from graphloom.plans import pipeline
 from graphloom.sources import corpus
@@ -78,6 +80,43 @@ def test_edited_sections_are_indexed_anew(spark, notes):
     assert {("a.md#one", "REFERENCES", "b.md"), ("a.md#deep", "REFERENCES", "n.lua")} <= edges
 
 
+def test_relate_writes_what_a_model_finds(spark):
+    """Matched and minted entities, fragments, the whitelist, lexical precedence, failed units and corpus patterns."""
+
+    class Model(pipeline.Offline):
+        def relate(self, text, context, previous):
+            if text == "fail":
+                raise ValueError("no answer")
+            rows = [("USES", "Technology", "redis", {"description": "a store", "name": "no", "color": "red"}), ("USES", "Technology", "Zig", {"description": text}), ("REFERENCES", "File", "b.md", {}), ("REFERENCES", "File", "a.md", {}), ("CONTAINS", "File", "b.md", {})]
+            return json.dumps({"relationships": [{"type": t, "target_type": k, "target_name": n, "confidence": 0.9, "properties": p} for t, k, n, p in rows]})
+
+    files = spark.createDataFrame([(p, p, "h", "c") for p in ("a.md", "b.md", "c.md")], "path string, name string, hash string, corpus string")
+    store = GraphStore(spark, {"File": files, "Technology": spark.createDataFrame([("Redis", "c", "known")], "name string, corpus string, description string")})
+    units = spark.createDataFrame([("File", "a.md", "a.md", ".md", "c", "a", "[b](b.md) JIRA-7", ""), ("File", "c.md", "c.md", ".md", "c", "c", "fail", "")], "label string, pk string, path string, suffix string, corpus string, title string, text string, context string")
+    found = pipeline.inferred_rows(units, Model(), Ontology())
+    patterns = [{"regex": "([A-Z]+-\\d+)", "edge_type": "REFERENCES", "target_type": "Ticket", "capture": 1, "formats": ["md"]}]
+    rows = pipeline.relate(store, units.drop("context", "title"), Ontology(), found, Model(), patterns).collect()
+    assert sorted(r["drop_reason"] for r in rows if r["drop_reason"]) == ["edge type cannot be written", "lexical edge is there", "target is the source"]
+    edges = {(r["src_pk"], r["edge_type"], r["dst_pk"]): r["method"] for r in store.edges().collect()}
+    assert edges == {("a.md", "REFERENCES", "b.md"): "lexical", ("a.md", "REFERENCES", "JIRA-7"): "lexical", ("a.md", "USES", "Redis"): "llm", ("a.md", "USES", "Zig"): "llm"}
+    nodes = {r["name"]: r for r in store.nodes("Technology").collect()}
+    assert set(nodes) == {"Redis", "Zig"} and nodes["Redis"]["description"] == "known" and nodes["Redis"]["description_fragments"] == ["a store"]
+    assert nodes["Zig"]["description"] == "[b](b.md) JIRA-7" and nodes["Zig"]["name_norm"] == "zig" and nodes["Zig"]["embedding"] and nodes["Zig"]["corpus"] == "c"
+    assert {r["path"] for r in store.nodes("File").where("inferred_at IS NOT NULL").collect()} == {"a.md"}
+
+
+def test_neighbours_of_a_unit(spark):
+    """The file's own sections and linked files first, then similar ones of the corpus, without the unit itself."""
+    files = spark.createDataFrame([(p, p, "h", c, t, v) for p, c, t, v in (("a", "c", "red fish", [1.0, 0.0]), ("b", "c", "blue", [0.0, 1.0]), ("d", "c", "red bird", [0.9, 0.1]), ("x", "o", "red fish", [1.0, 0.0]))], "path string, name string, hash string, corpus string, summary string, embedding array<float>")
+    sections = spark.createDataFrame([(f"{p}#{n}", p, c, n, t) for p, c, n, t in (("a", "c", 1, "one"), ("a", "c", 0, "two"), ("b", "c", 0, "red"), ("x", "o", 0, "red"))], "id string, path string, corpus string, ordinal int, summary string")
+    edge = spark.createDataFrame([("File", "b", "REFERENCES", "File", "a")], "src_label string, src_pk string, edge_type string, dst_label string, dst_pk string")
+    store = GraphStore(spark, {"File": files, "Section": sections})
+    store.upsert_edges(edge)
+    units = spark.createDataFrame([("File", "a", "a", "c", "red"), ("Section", "a#0", "a", "c", "red")], "label string, pk string, path string, corpus string, title string")
+    got = {(r["pk"], r["kind"], r["place"]): r["target"] for r in resolve.neighbours(store, units).collect()}
+    assert got == {("a", "section", 1): "a#0", ("a", "section", 2): "a#1", ("a", "section", 3): "b#0", ("a#0", "section", 1): "a#1", ("a#0", "section", 2): "b#0", ("a", "file", 1): "b", ("a", "file", 2): "d", ("a#0", "file", 1): "b", ("a#0", "file", 2): "d"}
+
+
 def test_logs_and_checkpoint(spark, tmp_path):
     rows = spark.createDataFrame([("p", "m", "s", 1, 2, "2024-05-01T00:00:00"), ("p", "m", "s", 10, 20, "2024-05-02T00:00:00")], corpus.USAGE)
     corpus.log_usage(rows, str(tmp_path / "usage"))

@@ -196,4 +196,30 @@ def test_resolution(spark):
     entities = spark.createDataFrame([("c", "Technology", "PostgreSQL", "PostgreSQL", [1.0, 0.0]), ("c", "Technology", "Redis", "Redis", None)], "corpus string, label string, pk string, name string, embedding array<float>")
     mentions = spark.createDataFrame([("c", "Technology", " postgresql ", 1, None), ("c", "Technology", "PostgresSQL", 2, None), ("c", "Technology", "Elephant", 3, [0.99, 0.05]), ("c", "Technology", "Kafka Streams", 4, None), ("c", "Technology", "kafka streams", 5, None)], "corpus string, label string, name string, seq int, embedding array<float>")
     got = {r["seq"]: (r["pk"], r["rule"].split(":")[0], r["minted"]) for r in resolve.cascade(mentions, entities).collect()}
-    assert got == {1: ("PostgreSQL", "exact-norm", False), 2: ("PostgreSQL", "fuzzy", False), 3: ("PostgreSQL", "embedding", False), 4: ("Kafka Streams", "minted", True), 5: ("Kafka Streams", "minted", True)}
+    assert got == {1: ("PostgreSQL", "exact-norm", False), 2: ("PostgreSQL", "fuzzy", False), 3: ("PostgreSQL", "embedding", False), 4: ("Kafka Streams", "minted", True), 5: ("Kafka Streams", "exact-norm", False)}
+
+
+def test_cascade_takes_the_corpus_only_after_the_nearest(spark):
+    """Entities of another corpus fill the places of the nearest; names that several entities have match none of them."""
+    others = [("o", "Technology", f"O{i}", f"O{i}", [1.0, i / 1000]) for i in range(5)]
+    entities = spark.createDataFrame([*others, ("c", "Technology", "Mine", "Mine", [1.0, 0.01]), ("c", "Technology", "Ab", "Ab", None), ("c", "Technology", "AB", "AB", None)], "corpus string, label string, pk string, name string, embedding array<float>")
+    mentions = spark.createDataFrame([("c", "Technology", "far", 1, [1.0, 0.0]), ("c", "Technology", "near", 2, [1.0, 0.012]), ("c", "Technology", "ab", 3, None), ("c", "Technology", "aB", 4, None)], "corpus string, label string, name string, seq int, embedding array<float>")
+    got = {r["seq"]: (r["pk"], r["minted"]) for r in resolve.cascade(mentions, entities).collect()}
+    assert got == {1: ("far", True), 2: ("Mine", False), 3: ("ab", True), 4: ("aB", True)}
+
+
+def test_answers_of_a_model():
+    rows = resolve.answer_rows('so: {"relationships": [{"type": "USES", "target_type": "Technology", "target_name": "X", "confidence": "high", "reason": {"a": 1}, "properties": {"version": 2, "bad": {}, "list": ["a", "", 3]},}, 7, {"type": 1}]} done')
+    assert rows[0] == {"edge_type": "USES", "target_type": "Technology", "target_name": "X", "confidence": '"high"', "reason": '{"a": 1}', "properties": {"version": ["2"], "list": ["a"]}}
+    assert len(rows) == 2 and rows[1]["edge_type"] is None and resolve.answer_rows('{"relationships": 3}') == []
+    with pytest.raises(ValueError):
+        resolve.answer_rows("nothing")
+    one = lambda *names: '{"relationships": [' + ",".join(f'{{"type": "USES", "target_type": "Technology", "target_name": "{n}"}}' for n in names) + "]}"
+    answers, asked = [one("a", "b"), one("b ", "c"), one("c"), one("d")], []
+
+    def ask(known):
+        asked.append([r["target_name"] for r in known])
+        return answers[len(asked) - 1]
+
+    assert [r["target_name"] for r in resolve.gleaned(ask, Ontology(), 3)] == ["a", "b", "c"] and asked == [[], ["a", "b"], ["a", "b", "c"]]
+    assert [r["target_name"] for r in resolve.gleaned(lambda known: one("a") if not known else "broken", Ontology(), 2)] == ["a"]
