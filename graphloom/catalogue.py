@@ -555,6 +555,130 @@ def candidate_context(spark, sf_dir):
     return resolve.rendered(resolve.candidates(load(spark, sf_dir)))
 
 
+def _notes(spark, sf_dir):
+    """Documents as files of one corpus, the brands that it knows, and what a model might have said of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("pk"))
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.lit("c").alias("corpus"), F.lit("known").alias("description")).distinct()
+    files = docs.select(F.col("pk").alias("path"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.lit("h").alias("hash"), F.lit("c").alias("corpus"))
+    store = GraphStore(spark, {"File": files, "Technology": brands})
+    units = docs.select(F.lit("File").alias("label"), "pk", F.col("pk").alias("path"), F.lit(".md").alias("suffix"), F.lit("c").alias("corpus"), F.concat(F.lit("see TK-"), (F.col("doc_id") % 7).cast("string")).alias("text"))
+    text = lambda x: F.lit(x).cast("string")
+
+    def row(kind, label, target, confidence, **properties):
+        pairs = [x for k, v in properties.items() for x in (F.lit(k), F.array(v))]
+        given = F.create_map(*pairs) if pairs else F.create_map().cast("map<string, array<string>>")
+        return F.struct(text(kind).alias("edge_type"), text(label).alias("target_type"), target.cast("string").alias("target_name"), text(confidence).alias("confidence"), text("said").alias("reason"), given.alias("properties"))
+
+    n = F.col("doc_id")
+    known = F.concat(F.lit(" BRAND#1"), (n % 5 + 1).cast("string"))
+    minted = F.concat(F.when(n % 2 == 0, "Zz").otherwise("zZ"), (n % 3).cast("string"))
+    said = F.array(
+        row("USES", "Technology", known, '"high"', description=F.concat(F.lit("d"), (n % 4).cast("string")), name=F.lit("bad"), version=(n % 2).cast("string")),
+        row("USES", "Technology", minted, "0.8", description=F.concat(F.lit("m"), n.cast("string"))),
+        row("REFERENCES", "Ticket", F.concat(F.lit("TK-"), (n % 7).cast("string")), "0.9"),
+        row("REFERENCES", "File", F.concat(F.lit("x/doc-"), (n - n % 2).cast("string")), "0.7"),
+        row("REFERENCES", "File", F.lit("lost"), "0.7"),
+        row("USES", "Technology", F.lit("weak"), '"none"'),
+        row("CONTAINS", "File", F.lit("doc/0"), "1"),
+    )
+    inferred = docs.select(F.lit("File").alias("label"), "pk", said.alias("rows"), F.when(n % 10 == 9, "ValueError: no answer").alias("error"))
+    patterns = [{"regex": r"TK-\d", "edge_type": "REFERENCES", "target_type": "Ticket"}]
+    return store, lambda: pipeline.relate(store, units, Ontology(), inferred, None, patterns)
+
+
+# brands that are known, unknown ones minted under the first spelling in the order of units, by document
+_NOTES = r"""WITH d AS (SELECT doc_id AS n, 'doc/' || doc_id AS pk, 'Brand#1' || (doc_id % 5 + 1) AS brand, (CASE WHEN doc_id % 2 = 0 THEN 'Zz' ELSE 'zZ' END) || (doc_id % 3) AS minted FROM documents WHERE doc_id % 10 <> 9),
+known AS (SELECT DISTINCT p_brand AS brand FROM part), heads AS (SELECT lower(minted) AS norm, arg_min(minted, pk) AS name, min(pk) AS first FROM d GROUP BY 1) """
+
+
+@query(
+    _NOTES + "SELECT pk AS src_pk, 'USES' AS edge_type, brand AS dst_pk, 'llm' AS method, 0.9 AS confidence FROM d UNION ALL SELECT pk, 'USES', name, 'llm', 0.8 FROM d JOIN heads ON norm = lower(minted) "
+    "UNION ALL SELECT pk, 'REFERENCES', 'TK-' || n % 7, 'lexical', 1.0 FROM d UNION ALL SELECT pk, 'REFERENCES', 'doc/' || (n - n % 2), 'llm', 0.7 FROM d WHERE n % 2 = 1",
+    graph=False,
+)
+def relate_edges(spark, sf_dir):
+    store, job = _notes(spark, sf_dir)
+    job()
+    return store.edges().select("src_pk", "edge_type", "dst_pk", "method", "confidence")
+
+
+@query(
+    _NOTES + "SELECT brand AS name, NULL AS name_norm, 'known' AS description, v AS version, f AS fragments FROM known LEFT JOIN (SELECT brand, arg_max(n % 2, pk)::VARCHAR AS v FROM d GROUP BY 1) USING (brand) LEFT JOIN (SELECT brand, string_agg(x, '|' ORDER BY o) AS f FROM (SELECT brand, 'd' || n % 4 AS x, min(pk) AS o FROM d GROUP BY 1, 2) GROUP BY 1) USING (brand) "
+    "UNION ALL SELECT h.name, h.norm, 'm' || substr(h.first, 5), NULL, f FROM heads h LEFT JOIN (SELECT norm, string_agg(x, '|' ORDER BY o) AS f FROM (SELECT lower(minted) AS norm, 'm' || n AS x, pk AS o FROM d JOIN heads ON norm = lower(minted) AND pk <> first QUALIFY row_number() OVER (PARTITION BY norm ORDER BY pk) <= 12) GROUP BY 1) f USING (norm)",
+    graph=False,
+)
+def relate_entities(spark, sf_dir):
+    store, job = _notes(spark, sf_dir)
+    job()
+    return store.nodes("Technology").select("name", "name_norm", "description", "version", F.array_join("description_fragments", "|").alias("fragments"))
+
+
+@query(
+    "SELECT 'doc/' || doc_id AS src_pk, unnest(CASE WHEN doc_id % 10 = 9 THEN [] WHEN doc_id % 2 = 0 THEN ['lexical edge is there', 'target is the source', 'target is unknown', 'low confidence', 'edge type cannot be written'] ELSE ['lexical edge is there', 'target is unknown', 'low confidence', 'edge type cannot be written'] END) AS drop_reason FROM documents",
+    graph=False,
+)
+def relate_drops(spark, sf_dir):
+    _, job = _notes(spark, sf_dir)
+    return job().where("drop_reason IS NOT NULL").select("src_pk", "drop_reason")
+
+
+@query("SELECT 'doc/' || doc_id AS path FROM documents WHERE doc_id % 10 <> 9", graph=False)
+def relate_marks(spark, sf_dir):
+    store, job = _notes(spark, sf_dir)
+    job()
+    return store.nodes("File").where("inferred_at IS NOT NULL").select("path")
+
+
+@query("WITH t AS (SELECT user_id::VARCHAR AS u, string_agg('f' || event_id % 3, '; ' ORDER BY event_id) AS d, count(*) AS n FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 9) GROUP BY 1) SELECT 'Pattern' AS label, u AS pk, d AS description, d AS fragments FROM t WHERE n >= 6", graph=False)
+def merged_descriptions(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("r <= 9")
+    pieces = rows.groupBy(F.col("user_id").cast("string").alias("name")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id"))), lambda x: F.concat(F.lit("f"), (x["event_id"] % 3).cast("string"))).alias("description_fragments"))
+    return resolve.merge_due(GraphStore(spark, {"Pattern": pieces})).select("label", "pk", "description", F.array_join("description_fragments", "|").alias("fragments"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN repeat('b', 500) ELSE '' END AS reason FROM events", graph=False)
+def reason_coerce(spark, sf_dir):
+    n = F.col("event_id") % 3
+    return table(spark, sf_dir, "events").select("event_id", resolve.reason(F.when(n == 0, "a").when(n == 1, F.repeat(F.lit("b"), 700))).alias("reason"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'description|version' ELSE '' END AS names FROM events", graph=False)
+def property_whitelist(spark, sf_dir):
+    n = F.col("event_id") % 3
+    label = F.when(n == 0, "Ticket").when(n == 1, "Technology").otherwise("Nothing")
+    given = F.create_map(*[x for k in ("created", "description", "hash", "name", "title", "version") for x in (F.lit(k), F.when((n == 0) & F.lit(k == "description"), F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))))])
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(resolve.whitelisted(given, label, Ontology()))), "|").alias("names"))
+
+
+@query(
+    "WITH w AS (SELECT p_partkey AS pk, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS w FROM part), t AS (SELECT pk, w, count(*) AS c FROM w WHERE w <> '' GROUP BY 1, 2), l AS (SELECT pk, sum(c) AS n FROM t GROUP BY 1), s AS (SELECT count(*) AS docs, avg(n) AS mean FROM l), df AS (SELECT w, count(*) AS d FROM t GROUP BY 1), "
+    "q AS (SELECT DISTINCT p_brand AS left_pk, lower(p_name) AS text FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1), qw AS (SELECT DISTINCT left_pk, unnest(regexp_split_to_array(text, '[^a-z0-9]+')) AS w FROM q), "
+    "f AS (SELECT left_pk, pk, round(sum(ln(1 + (docs - d + 0.5) / (d + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM qw JOIN t USING (w) JOIN df USING (w) JOIN l USING (pk), s GROUP BY 1, 2) SELECT left_pk, rank, score FROM (SELECT left_pk, row_number() OVER (PARTITION BY left_pk ORDER BY score DESC) AS rank, score FROM f) WHERE rank <= 5",
+    graph=False,
+)
+def bm25_each(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    queries = part.groupBy(F.col("p_brand").alias("left_pk")).agg(F.min_by("p_name", "p_partkey").alias("text"))
+    found = search.matched_each(queries, part.select(F.col("p_partkey").alias("pk"), F.col("p_name").alias("text")), 5)
+    return found.select("left_pk", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(
+    ", files_of AS (SELECT 'conv/' || conv_id AS path, 'conv/' || conv_id || '#' || turn AS pk, turn FROM conversations), pairs AS (SELECT a.pk, b.pk AS target, b.turn FROM files_of a JOIN files_of b ON a.path = b.path AND a.pk <> b.pk) SELECT pk, place, target FROM (SELECT pk, target, row_number() OVER (PARTITION BY pk ORDER BY turn)::INT AS place FROM pairs) WHERE place <= 2"
+)
+def unit_neighbours(spark, sf_dir):
+    store = load(spark, sf_dir)
+    units = store.nodes("Section").select(F.lit("Section").alias("label"), F.col("id").alias("pk"), "path", "corpus", F.lit("-").alias("title"))
+    return resolve.neighbours(store, units, section_cap=2).where("kind = 'section'").select("pk", "place", "target")
+
+
+@query("SELECT 'conv/' || conv_id || '#' || turn AS id, CASE WHEN role <> 'user' AND turn > 0 THEN 'user' ELSE '' END AS chain FROM conversations", graph=False)
+def parent_chain(spark, sf_dir):
+    path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"))
+    parts = table(spark, sf_dir, "conversations").select(path.alias("path"), F.col("turn").cast("string").alias("anchor"), F.lit("user").alias("title"), F.when((F.col("role") != "user") & (F.col("turn") > 0), "0").alias("parent_anchor"), F.concat(path, F.lit("#"), F.col("turn").cast("string")).alias("id"))
+    return pipeline.parent_chains(parts).select("id", F.array_join("chain", "|").alias("chain"))
+
+
 # streams, in their batch form
 
 

@@ -118,6 +118,16 @@ def structural_edges(sections: DataFrame) -> DataFrame:
     return contains.unionByName(parent).unionByName(sibling)
 
 
+def parent_chains(sections: DataFrame, depth: int = 5) -> DataFrame:
+    """sections with chain, the titles of their ancestors, outermost first; a parent that is missing ends it. Headings have six levels."""
+    above = sections.select("path", F.col("anchor").alias("_a"), F.col("title").alias("_t"), F.col("parent_anchor").alias("_p"))
+    out = sections.withColumn("chain", F.array().cast("array<string>")).withColumn("_at", F.col("parent_anchor"))
+    for _ in range(depth):
+        out = out.join(above.withColumnRenamed("_a", "_at"), ["path", "_at"], "left")
+        out = out.withColumn("chain", F.when(F.col("_t").isNull(), F.col("chain")).otherwise(F.concat(F.array("_t"), "chain"))).drop("_at", "_t").withColumnRenamed("_p", "_at")
+    return out.select(*sections.columns, "chain")
+
+
 def top_level(store: GraphStore) -> DataFrame:
     """Sections that no section is the parent of."""
     children = store.edges("PARENT_OF").where("src_label = 'Section'").select(F.col("dst_pk").alias("id"))
