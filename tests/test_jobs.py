@@ -105,6 +105,25 @@ def test_relate_writes_what_a_model_finds(spark):
     assert {r["path"] for r in store.nodes("File").where("inferred_at IS NOT NULL").collect()} == {"a.md"}
 
 
+def test_indexing_asks_the_model_with_context(spark, tmp_path):
+    """The corpus's linked entities, then files linked or alike, reach the model with each unit's text."""
+    (tmp_path / "a.md").write_text("red fish [b](b.md)")
+    (tmp_path / "b.md").write_text("red bird")
+
+    class Model(pipeline.Offline):
+        def relate(self, text, context, previous):
+            rows = [] if previous else [{"type": "DOCUMENTS", "target_type": "Pattern", "target_name": "Fish", "confidence": 1, "reason": context}]
+            return json.dumps({"relationships": rows})
+
+    store = GraphStore(spark)
+    job = pipeline.Indexer(store, corpus.CorpusConfig("n", str(tmp_path), include=["*.md"]), Model(), gleaning_rounds=1)
+    assert job.bootstrap().indexed == 2
+    seen = {r["src_pk"].split("/")[-1]: r["reason"] for r in store.edges("DOCUMENTS").collect()}
+    assert seen["a.md"].startswith("File: ") and seen["a.md"].endswith("b.md") and seen["b.md"].endswith("a.md")
+    assert [r["name"] for r in store.nodes("Pattern").collect()] == ["Fish"]
+    assert store.nodes("File").where("inferred_at IS NOT NULL").count() == 2
+
+
 def test_neighbours_of_a_unit(spark):
     """The file's own sections and linked files first, then similar ones of the corpus, without the unit itself."""
     files = spark.createDataFrame([(p, p, "h", c, t, v) for p, c, t, v in (("a", "c", "red fish", [1.0, 0.0]), ("b", "c", "blue", [0.0, 1.0]), ("d", "c", "red bird", [0.9, 0.1]), ("x", "o", "red fish", [1.0, 0.0]))], "path string, name string, hash string, corpus string, summary string, embedding array<float>")
