@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.tables import written
+from graphloom.llm.tables import BATCH_ROWS, written
 from graphloom.llm.text import batch_arrays
-from graphloom.llm.tokens import default_path, encoder, vocabulary
+from graphloom.llm.tokens import CACHE_WORDS, default_path, encoder, vocabulary
 
 
-def pieces(df: DataFrame, capacity: int = 2048, path: str | None = None, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, capacity: int = 2048, path: str | None = None, end: int = 0, with_ids: bool = False, cache_words: int = CACHE_WORDS, part_bytes: int = 8 << 20) -> DataFrame:
     """Cuts each document (doc_id, text; a null text is empty) into pieces of at most `capacity` token ids.
 
     A document is its ids and then `end`. Only longer ones are cut, and only the last piece may be shorter.
     Gives doc_id, piece, start (ids before it), length, ids_crc32 (of little-endian 32-bit ids), and ids if asked for.
+    `cache_words` and `part_bytes` trade a Python worker's memory for time; results are the same.
     """
     source = df.sparkSession.sparkContext.broadcast(vocabulary(path or default_path()))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -27,8 +28,8 @@ def pieces(df: DataFrame, capacity: int = 2048, path: str | None = None, end: in
     def cut(batches):
         import pyarrow as pa
 
-        for keys, texts in batch_arrays(batches, "doc_id", "text", part_bytes=8 << 20):
-            offsets, ids = encoder(source.value, end).encode(texts)
+        for keys, texts in batch_arrays(batches, "doc_id", "text", part_bytes=part_bytes):
+            offsets, ids = encoder(source.value, end, cache_words).encode(texts)
             sizes = np.diff(offsets)
             n = -(-sizes // capacity)
             row = np.repeat(np.arange(len(sizes)), n)
@@ -150,9 +151,10 @@ def pack(cut: DataFrame, capacity: int = 2048, part_rows: int | None = None) ->
     return joined.withColumn("sequence_id", F.col("_bin") + F.col("_rank") - F.col("_lo")).drop("_part", "_rank", "_lo", "_hi", "_bin")
 
 
-def pack_documents(df: DataFrame, capacity: int = 2048, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, capacity: int = 2048, path: str | None = None, with_ids: bool = False, cache_words: int = CACHE_WORDS, part_bytes: int = 8 << 20, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Cuts and packs documents: the rows of pieces() with sequence_id and offset.
 
     The cut pieces are written once in the shared folder, as both the plan and the placement read them.
     """
-    return pack(written(pieces(df, capacity, path, with_ids=with_ids)), capacity)
+    cut = pieces(df, capacity, path, with_ids=with_ids, cache_words=cache_words, part_bytes=part_bytes)
+    return pack(written(cut, batch_rows), capacity)

@@ -35,7 +35,7 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no rework.
 
     The application's folder goes when the Python driver ends; drop() removes one table earlier.
@@ -47,7 +47,7 @@ def written(df: DataFrame) -> DataFrame:
         atexit.register(_drop, spark, top)
     path = f"{top}/{uuid.uuid4().hex}"
     had = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(min(int(had), BATCH_ROWS) if int(had) > 0 else BATCH_ROWS))
+    spark.conf.set(BATCH, str(min(int(had), batch_rows) if int(had) > 0 else batch_rows))
     try:
         df.write.parquet(path)
     finally:

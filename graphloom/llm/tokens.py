@@ -31,10 +31,11 @@ def vocabulary(path: str) -> str:
 class WordEncoder:
     """Ids of texts for a tokenizer that drops white space, so that words between blanks are encoded apart.
 
-    encode() gives (offsets, ids): text i has ids[offsets[i]:offsets[i+1]], with `end` appended where it is not None.
+    encode() gives (offsets, ids): text i has ids[offsets[i]:offsets[i+1]], with `end` appended where it is not None. At most
+    `cache_words` distinct words and their ids are kept between calls, besides those of one call.
     """
 
-    def __init__(self, source: str, end: int | None = 0):
+    def __init__(self, source: str, end: int | None = 0, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each Spark task is one thread
         from tokenizers import Tokenizer
 
@@ -49,7 +50,7 @@ class WordEncoder:
         known = self.tokenizer.get_vocab()
         self.last = np.zeros(max(known.values()) + 1, bool)
         self.last[[i for t, i in known.items() if t.endswith("</w>")]] = True
-        self.end = end
+        self.end, self.cache_words = end, cache_words
         self.ids: dict[str, bytes] = {}
 
     def _fill(self, new: list[str]) -> None:
@@ -92,7 +93,7 @@ class WordEncoder:
         # a letter and then one comma or full stop at a word's end are two pre-tokens: the ids of the stem, then the sign's
         stems = [w[:-1] if w[-1:] in _ENDS and w[-2:-1].isalpha() else w for w in uniques]
         new = [w for w in {*stems, ",", "."} if w not in self.ids]
-        if new and len(self.ids) + len(new) > CACHE_WORDS:
+        if new and len(self.ids) + len(new) > self.cache_words:
             self.ids.clear()
             new = list({*stems, ",", "."})
         self._fill(new)
@@ -117,12 +118,12 @@ class WordEncoder:
         return out_offsets, ids
 
 
-def encoder(source: str, end: int | None = 0) -> WordEncoder:
+def encoder(source: str, end: int | None = 0, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """This worker process's encoder; kept between tasks, as a process serves many."""
     kept = sys.__dict__.setdefault("_graphloom_encoders", {})
-    key = (hash(source), end)
+    key = (hash(source), end, cache_words)
     if key not in kept:
-        kept[key] = WordEncoder(source, end)
+        kept[key] = WordEncoder(source, end, cache_words)
     return kept[key]
 
 
