@@ -265,9 +265,12 @@ def sections(text: str, lowest: int = 2, highest: int = 4) -> list[dict]:
 
 
 def sections_udf(lowest: int = 2, highest: int = 4):
-    @F.pandas_udf(types.ArrayType(SECTION))
-    def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sections(t or "", lowest, highest))
+    """sections() as a column. Rows go to Python a hundred at a time, and not as Arrow batches of ten thousand texts, whose
+    sections would all be held at once."""
+
+    @F.udf(types.ArrayType(SECTION), useArrow=False)
+    def parse(text: str):
+        return sections(text or "", lowest, highest)
 
     return parse
 

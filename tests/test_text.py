@@ -124,3 +124,14 @@ def test_slugs_of_whole_texts(spark):
 
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", T.slug(F.col("text")).alias("s"))
     assert sorted(map(tuple, catalogue.QUERIES["slug"](spark, SF).collect()), key=repr) == sorted(map(tuple, texts.collect()), key=repr)
+
+
+def test_sections_reach_python_in_small_batches(spark):
+    from graphloom.plans import pipeline
+
+    files = spark.range(300).selectExpr("concat('f', id) AS path", "'c' AS corpus", "CASE WHEN id % 3 > 0 THEN concat('## a\n', id, '\n### b') END AS text")
+    found = pipeline.parse_sections(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # a hundred rows at most, however large the input
+    assert [tuple(r) for r in found.where("path = 'f1'").orderBy("pos").select("id", "body", "parent_anchor", "ordinal").collect()] == [("f1#a", "## a\n1\n", None, 0), ("f1#b", "### b", "a", 0)]
+    assert found.count() == 400
