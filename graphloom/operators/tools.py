@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.ontology import FRESHNESS, NODE_PROPERTIES, identifier
 from graphloom.operators.search import full_text_search, hybrid_search
-from graphloom.operators.store import GraphStore
+from graphloom.operators.store import GraphStore, shared_folder
 from graphloom.schema import shown
 
 CUT = 400
@@ -56,21 +56,37 @@ def outbound(store: GraphStore, node_id: str) -> DataFrame:
     return _neighbours(store, node_id, "src", "dst")
 
 
+#: Nodes up to which a round's nodes are sent to every task: a plan's choice, not a result's.
+FEW = 100_000
+
+
 def related(store: GraphStore, node_id: str, depth: int = 2, limit: int = 50) -> DataFrame:
     """Nodes within 1 to 5 undirected steps, without the anchors: path, id, name, summary, the nearest first, then by key.
 
-    A breadth-first search by joins: each round meets only nodes not met before, so hubs are expanded once.
+    A breadth-first search by joins: each round meets only nodes not met before, so hubs are expanded once. A round's nodes
+    are kept and counted, and edges meet them where they are read: only edges at those nodes are exchanged, not all.
     """
     depth = max(1, min(5, depth))
-    steps = store.undirected().select("a_label", "a_pk", "b_label", "b_pk").distinct()
-    seen = store.view().where(named(node_id)).select("label", "pk", F.lit(0).alias("depth"))
-    frontier = seen
+    shared_folder(store.spark)
+
+    def kept(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """df, and how joins see it: sent to every task where it is short."""
+        df = df.checkpoint()
+        return df, F.broadcast(df) if df.count() <= FEW else df
+
+    edges = store.edges()
+    frontier, near = kept(store.view().where(named(node_id)).select("label", "pk", F.lit(0).alias("depth")))
+    seen = frontier
     for d in range(1, depth + 1):
-        at = frontier.select(F.col("label").alias("a_label"), F.col("pk").alias("a_pk"))
-        met = steps.join(at, ["a_label", "a_pk"], "left_semi").select(F.col("b_label").alias("label"), F.col("b_pk").alias("pk")).distinct()
-        frontier = met.join(seen.select("label", "pk"), ["label", "pk"], "left_anti").withColumn("depth", F.lit(d))
+        ways = []
+        for a, b in (("src", "dst"), ("dst", "src")):
+            at = near.select(F.col("label").alias(f"{a}_label"), F.col("pk").alias(f"{a}_pk"))
+            ways.append(edges.join(at, [f"{a}_label", f"{a}_pk"], "left_semi").select(F.col(f"{b}_label").alias("label"), F.col(f"{b}_pk").alias("pk")))
+        met = ways[0].unionByName(ways[1]).distinct()
+        frontier, near = kept(met.join(seen.select("label", "pk"), ["label", "pk"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
-    found = seen.where("depth > 0").join(store.view(), ["label", "pk"])
+    _, seen = kept(seen.where("depth > 0"))
+    found = seen.join(store.view(), ["label", "pk"])
     return found.groupBy("path", "id", "name", "summary").agg(F.min("depth").alias("depth")).orderBy("depth", "path", "id", "name").limit(limit)
 
 

@@ -5,7 +5,7 @@ from graphloom.ontology import NODE_PROPERTIES, Ontology, identifier
 from graphloom.operators import resolve, search, tools
 from graphloom.operators.store import GraphStore
 from graphloom.plans import cypher
-from graphloom.schema import EDGE
+from graphloom.schema import EDGE, conform
 
 E = "src_label string, src_pk string, edge_type string, dst_label string, dst_pk string, origin string, confidence double"
 
@@ -223,3 +223,15 @@ def test_answers_of_a_model():
 
     assert [r["target_name"] for r in resolve.gleaned(ask, Ontology(), 3)] == ["a", "b", "c"] and asked == [[], ["a", "b"], ["a", "b", "c"]]
     assert [r["target_name"] for r in resolve.gleaned(lambda known: one("a") if not known else "broken", Ontology(), 2)] == ["a"]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_related_exchanges_only_edges_at_its_nodes(spark, monkeypatch, few):
+    monkeypatch.setattr(tools, "FEW", few)
+    n = spark.range(40)
+    name = lambda x: F.concat(F.lit("n"), (x % 40).cast("string"))
+    ring = n.select(F.lit("Service").alias("src_label"), name(F.col("id")).alias("src_pk"), F.lit("USES").alias("edge_type"), F.lit("Service").alias("dst_label"), name(F.col("id") + 1).alias("dst_pk"))
+    found = tools.related(GraphStore(spark, {"Service": n.select(name(F.col("id")).alias("name"))}, conform(ring, EDGE)), "n0", 3)
+    assert [(r["name"], r["depth"]) for r in found.collect()] == [("n1", 1), ("n39", 1), ("n2", 2), ("n38", 2), ("n3", 3), ("n37", 3)]
+    # rounds are kept, so one join with the nodes is left, and no plan exchanges all edges
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
