@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.operators.store import GraphStore
+from graphloom.operators.store import GraphStore, dealt
 from graphloom.schema import EDGE, conform, node_schema
 
 #: The DuckDB SQL of the same graph; queries follow it.
@@ -69,8 +69,10 @@ def load(spark: SparkSession, sf_dir: str) -> GraphStore:
         return conform(df.select(*[c.alias(n) for n, c in columns.items()]), EDGE)
 
     item = t("lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    supplied = dealt(item.select("l_orderkey", "s_name", "l_discount"), t("lineitem"), "l_orderkey")
+    owned = dealt(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name"), orders, "o_orderkey")
     before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    followed = orders.select("o_orderkey", "o_orderstatus", F.lag("o_orderkey").over(before).alias("b"), F.lag("o_orderstatus").over(before).alias("sb")).where("b IS NOT NULL")
+    followed = dealt(orders.select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderdate"), orders, "o_custkey").select("o_orderkey", "o_orderstatus", F.lag("o_orderkey").over(before).alias("b"), F.lag("o_orderstatus").over(before).alias("sb")).where("b IS NOT NULL")
     hashed = docs.select("doc_id", "source", F.md5("text").alias("h"))
     # each copy is linked with its group's first alone: as many edges as copies
     first = hashed.groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("first"))
@@ -80,8 +82,8 @@ def load(spark: SparkSession, sf_dir: str) -> GraphStore:
     every = [
         edges(talk, ("File", key("conv/", "conv_id")), "CONTAINS", ("Section", turn), "structural"),
         edges(turns, ("Section", F.concat(key("conv/", "conv_id"), F.lit("#"), F.col("p").cast("string"))), "NEXT_SIBLING", ("Section", turn), "structural"),
-        edges(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), order, "BELONGS_TO", ("Client", F.col("c_name")), confidence=F.lit(1.0), reason=F.lit("ordered by")),
-        edges(item.groupBy("l_orderkey", "s_name").agg(F.round(F.avg("l_discount") * 10, 6).alias("c")), ("Ticket", key("order/", "l_orderkey")), "DEPENDS_ON", ("Service", F.col("s_name")), confidence=F.col("c")),
+        edges(owned, order, "BELONGS_TO", ("Client", F.col("c_name")), confidence=F.lit(1.0), reason=F.lit("ordered by")),
+        edges(supplied.groupBy("l_orderkey", "s_name").agg(F.round(F.avg("l_discount") * 10, 6).alias("c")), ("Ticket", key("order/", "l_orderkey")), "DEPENDS_ON", ("Service", F.col("s_name")), confidence=F.col("c")),
         edges(item.join(part, F.col("l_partkey") == F.col("p_partkey")).select("s_name", "p_brand").distinct(), ("Service", F.col("s_name")), "USES", ("Technology", F.col("p_brand"))),
         edges(followed, order, "SUPERSEDES", earlier),
         edges(followed.where("(o_orderstatus = 'F' AND sb = 'O') OR (o_orderstatus = 'O' AND sb = 'F')"), order, "CONTRADICTS", earlier),

@@ -235,3 +235,16 @@ def test_related_exchanges_only_edges_at_its_nodes(spark, monkeypatch, few):
     assert [(r["name"], r["depth"]) for r in found.collect()] == [("n1", 1), ("n39", 1), ("n2", 2), ("n38", 2), ("n3", 3), ("n37", 3)]
     # rounds are kept, so one join with the nodes is left, and no plan exchanges all edges
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_graph_inputs_are_dealt_by_size(spark):
+    from conftest import SF
+
+    from graphloom.operators.store import dealt
+    from graphloom.sources.tables import load
+
+    rows = spark.range(1000)
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert [dealt(rows, rows, "id", x).rdd.getNumPartitions() for x in (size // 10, size // 20, size)] == [10, 20, 4]
+    plan = load(spark, SF).degrees()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [l_orderkey") == 1 and plan.count("RepartitionByExpression [o_orderkey") == 1
