@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.operators.store import dealt
+
 K1, B = 1.2, 0.75
 #: Signs with a meaning in full-text queries.
 SPECIAL = r"([+\-&|!(){}\[\]^\"~*?:\\/])"
@@ -186,7 +188,9 @@ def matched_each(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     asked = queries.select("left_pk", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
     cut = texts.where(F.col("text").isNotNull()).select("pk", tokens(F.col("text")).alias("t")).select("pk", F.size("t").alias("n"), "t")
     stats = cut.agg(F.count(F.lit(1)).alias("_docs"), F.avg("n").alias("_mean"))
-    held = cut.select("pk", "n", F.explode("t").alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("w", "pk", "n").agg(F.count(F.lit(1)).alias("c"))
+    # words are counted in parts by pk, cut finely: a small file holds many rows, and each has many words
+    met = cut.select("pk", "n", F.explode("t").alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    held = dealt(met, texts, "pk", 512 << 10, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).groupBy("w", "pk", "n").agg(F.count(F.lit(1)).alias("c"))
     rare = held.groupBy("w").agg(F.count(F.lit(1)).alias("d"))
     weighed = held.join(rare, "w").crossJoin(F.broadcast(stats))  # one row of corpus statistics
     idf = F.log(1 + (F.col("_docs") - F.col("d") + 0.5) / (F.col("d") + 0.5))

@@ -54,13 +54,13 @@ def shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='graphloom-')}")
 
 
-def dealt(df: DataFrame, source: DataFrame, key: str, each: int = 4 << 20) -> DataFrame:
-    """df in partitions by key, as many as there are cores, or one for each `each` bytes of the source that it is read from.
+def dealt(df: DataFrame, source: DataFrame, key: str, each: int = 4 << 20, least: int = 0) -> DataFrame:
+    """df in partitions by key: one for each `each` bytes of the source that it is read from, at least one a core and `least`.
 
     What a task holds then depends neither on the input nor on how a session cuts files or joins small partitions.
     """
     size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // each), 10_000)), key)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, least, min(-(-size // each), 10_000)), key)
 
 
 class GraphStore:

@@ -248,3 +248,10 @@ def test_graph_inputs_are_dealt_by_size(spark):
     assert [dealt(rows, rows, "id", x).rdd.getNumPartitions() for x in (size // 10, size // 20, size)] == [10, 20, 4]
     plan = load(spark, SF).degrees()._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression [l_orderkey") == 1 and plan.count("RepartitionByExpression [o_orderkey") == 1
+
+
+def test_words_of_many_texts_are_counted_in_parts(spark):
+    texts = spark.createDataFrame([(1, "red blue red"), (2, "blue"), (3, None)], "pk long, text string")
+    found = search.matched_each(spark.createDataFrame([("q", "red blue")], "left_pk string, text string"), texts, 5)
+    assert "RepartitionByExpression [pk" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["pk"], r["rank"]) for r in found.orderBy("rank").collect()] == [(1, 1), (2, 2)]
