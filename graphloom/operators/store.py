@@ -60,7 +60,8 @@ def dealt(df: DataFrame, source: DataFrame, key: str, each: int = 4 << 20, least
     What a task holds then depends neither on the input nor on how a session cuts files or joins small partitions.
     """
     size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, least, min(-(-size // each), 10_000)), key)
+    parts = min(-(-size // each), 10_000) if size < 1 << 44 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else a plan that does not know its size
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, least, parts), key)
 
 
 class GraphStore:
