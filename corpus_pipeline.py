@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, placed in sequences of at most CAPACITY. Executors hold memory of the stages
     before, so the Python workers keep less here."""
-    return packing.pack_documents(docs, CAPACITY, cache_words=300_000, part_bytes=4 << 20, batch_rows=2000).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack_documents(docs, CAPACITY, cache_words=300_000, part_bytes=1 << 20, batch_rows=2000).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("pseudonyms", pseudonyms), ("mixture", mixture), ("packing", packed)]

@@ -21,7 +21,7 @@ SLOT_BITS, SLOT_BYTES = (20, 24), 1536
 #: Bits of the filter that spares texts without candidates: 2 MB on each executor.
 FILTER_BITS = 1 << 24
 #: Text that a task turns into n-grams at a time.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 #: Rows that one part of a frequent n-gram, a leader or a component has, of all that the corpus may give it.
 PART_ROWS = 20_000
 #: Pairs of one document from which on they are split.

@@ -13,6 +13,8 @@ from graphloom.llm.text import coded, release
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words whose ids one Python worker keeps; beyond it the memory starts afresh, results are the same.
 CACHE_WORDS = 800_000
+#: Words whose ids are laid out at a time: what is built for them is small beside the ids of a part of texts.
+AT_ONCE = 1 << 16
 _ENDS = frozenset(",.")
 
 
@@ -100,21 +102,28 @@ class WordEncoder:
         ids = self.ids
         found = [ids[s] if s is w else ids[s] + ids[w[-1]] for w, s in zip(uniques, stems, strict=True)]
         pool = np.frombuffer(b"".join(found), dtype="<u4")
-        size = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-        start = np.cumsum(size) - size
+        size = np.fromiter((len(x) // 4 for x in found), np.int32, len(found))
+        start = np.cumsum(size, dtype=np.int64) - size
+        del found, stems, uniques
         extra = int(self.end is not None)
-        lengths = size[codes] if len(codes) else np.zeros(0, np.int64)
-        upto = np.concatenate(([0], np.cumsum(lengths)))
+        upto = np.zeros(len(codes) + 1, np.int64)
+        for k in range(0, len(codes), AT_ONCE):
+            np.cumsum(size[codes[k : k + AT_ONCE]], out=upto[k + 1 : k + 1 + AT_ONCE])
+            upto[k + 1 : k + 1 + AT_ONCE] += upto[k]
         out_offsets = upto[offsets] + extra * np.arange(len(offsets))
-        total = int(upto[-1])
-        at = np.arange(total) - np.repeat(upto[:-1] - (start[codes] if len(codes) else 0), lengths)
-        flat = pool[at] if total else np.zeros(0, "<u4")
-        if not extra:
-            return out_offsets, flat
-        ids = np.full(total + len(offsets) - 1, self.end, dtype="<u4")
+        ids = np.full(int(out_offsets[-1]), self.end or 0, dtype="<u4")
         keep = np.ones(len(ids), bool)
-        keep[out_offsets[1:] - 1] = False
-        ids[keep] = flat
+        if extra:
+            keep[out_offsets[1:] - 1] = False
+        for k in range(0, len(codes), AT_ONCE):
+            part = codes[k : k + AT_ONCE]
+            before = upto[k : k + 1 + len(part)]
+            at = np.arange(before[0], before[-1])
+            at -= np.repeat(before[:-1] - start[part], size[part])
+            # from the first word's place to the last one's: texts that end between have their `end` there
+            first, last = np.searchsorted(offsets, (k, k + len(part) - 1), side="right") - 1
+            here = slice(before[0] + extra * first, before[-1] + extra * last)
+            ids[here][keep[here]] = pool[at]
         return out_offsets, ids
 
 

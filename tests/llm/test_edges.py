@@ -120,3 +120,32 @@ def test_checkpoint_folder_is_the_sessions(spark):
 
     table = written(spark.range(3).withColumn("x", F.lit(None).cast("string")))
     assert table._graphloom_path.startswith(shared_dir(spark)) and table.count() == 3
+
+
+def test_ids_are_laid_out_in_slices(monkeypatch):
+    """What is built beside the ids of a part of texts is small: arrays as long as all its words are few."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from graphloom.llm import tokens
+
+    source = tokens.vocabulary(tokens.default_path())
+    n = 1_000_000
+    texts = pa.array(["a b " * (n // 2)])
+    e = tokens.WordEncoder(source)
+    tracemalloc.start()
+    try:
+        _, ids = e.encode(texts)
+        assert len(ids) == n + 1
+        assert tracemalloc.get_traced_memory()[1] < 28 * n
+    finally:
+        tracemalloc.stop()
+    odd = ["", None, "one two, three", " \n", "x" * 300 + " y.", None, "Ünïcode ﬁ <unk> z", ""]
+    for end in (0, None):
+        e = tokens.WordEncoder(source, end)
+        each = [e.encode(pa.array([t], pa.string()))[1].tolist() for t in odd]
+        for at_once in (1, 2, 1 << 16):
+            monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+            offsets, ids = e.encode(pa.array(odd))
+            assert [ids[b:k].tolist() for b, k in zip(offsets[:-1], offsets[1:], strict=True)] == each
