@@ -196,7 +196,11 @@ def cascade(mentions: DataFrame, known: DataFrame, limits: Thresholds | None = N
     import numpy as np
 
     limits = limits or Thresholds()
-    mentions = mentions.withColumn("name_norm", norm("name", "label"))
+    # Python gets distinct names, not mentions; a null name matches nothing. Were it deterministic, Spark would push the joins'
+    # tests, with the Python function in them, down to all mentions
+    once = F.pandas_udf(norm.func, "string").asNondeterministic()
+    named = mentions.select("name", "label").where("name IS NOT NULL AND label IS NOT NULL").distinct()
+    mentions = mentions.join(named.withColumn("name_norm", once("name", "label")), ["name", "label"])
     keys = ["corpus", "label", "name_norm"]
     heads = mentions.groupBy(*keys).agg(F.min_by(F.struct("name", "embedding"), "seq").alias("h"), F.min("seq").alias("seq")).select(*keys, "seq", "h.name", "h.embedding")
     table = known.withColumn("name_norm", norm("name", "label")).select("corpus", "label", "pk", "name_norm", "embedding")

@@ -255,3 +255,24 @@ def test_words_of_many_texts_are_counted_in_parts(spark):
     found = search.matched_each(spark.createDataFrame([("q", "red blue")], "left_pk string, text string"), texts, 5)
     assert "RepartitionByExpression [pk" in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["pk"], r["rank"]) for r in found.orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_cascade_sends_each_name_to_python_once(spark, monkeypatch):
+    import pandas as pd
+
+    from graphloom.functions.text import normalised
+    from graphloom.operators import resolve
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(names: pd.Series, labels: pd.Series) -> pd.Series:
+        seen.add(len(names))
+        return pd.Series([None if n is None else normalised(n, x) for n, x in zip(names, labels, strict=True)])
+
+    monkeypatch.setattr(resolve, "norm", counted)
+    mentions = spark.range(3000).selectExpr("'c' AS corpus", "'Technology' AS label", "CASE id % 3 WHEN 0 THEN 'Redis' WHEN 1 THEN 'Mint  x' ELSE 'mint X' END AS name", "lpad(id, 6, '0') AS seq", "CAST(NULL AS array<float>) AS embedding")
+    known = spark.sql("SELECT 'c' AS corpus, 'Technology' AS label, 'redis' AS pk, 'redis' AS name, CAST(NULL AS array<float>) AS embedding")
+    found = {(r["pk"], r["rule"], r["minted"]): r["n"] for r in resolve.cascade(mentions, known).groupBy("pk", "rule", "minted").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {("redis", "exact-norm", False): 1000, ("Mint  x", "minted", True): 1, ("Mint  x", "exact-norm", False): 1999}
+    assert seen.value < 300
